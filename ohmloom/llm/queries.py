@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, token_counts, token_planes
+from . import decontamination, line_dedup, mixing, near_dedup, quality, token_counts, token_planes, topk
 
 _MODULES = {
     "op1_decontamination": decontamination,
+    "op3_near_dedup": near_dedup,
     "op4_line_dedup": line_dedup,
+    "op5_quality": quality,
     "op6_token_planes": token_planes,
     "op7_mixing": mixing,
     "op8_token_counts": token_counts,
+    "op9_topk": topk,
 }
 
 
