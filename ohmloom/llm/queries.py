@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, near_dedup, quality, token_counts, token_planes, topk
+from . import decontamination, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, token_planes, topk
 
 _MODULES = {
     "op1_decontamination": decontamination,
+    "op2_suffix_dedup": suffix_dedup,
     "op3_near_dedup": near_dedup,
     "op4_line_dedup": line_dedup,
     "op5_quality": quality,
