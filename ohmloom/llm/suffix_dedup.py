@@ -29,7 +29,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,9 +108,9 @@ class _Block:
     """The phrases of a block of documents and the distinct triggers they have, in the order in which buckets see them."""
 
     def __init__(self, docs: pa.Table, n_buckets: int, length: int):
-        self.ids = docs.column("doc_id").to_pylist()
-        order = [_LAST if i is None else i for i in self.ids]
-        self.doc = np.array(order, np.int64)
+        # a shuffle delivers rows in any order; every pass must see the same one
+        self.docs = docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.doc = np.array([_LAST if i is None else i for i in docs.column("doc_id").to_pylist()], np.int64)
         self.data, self.offsets = flat(docs.column("text"))
         self.h, self.first, self.count, self.text = phrases(self.data, self.offsets, length)
         self.triggers, self.of = np.unique(self.h, return_inverse=True)
@@ -330,7 +329,7 @@ def _cover(n_buckets: int, length: int, finish):
             np.add.at(step, lo, 1)
             np.add.at(step, hi, -1)
             gone = np.cumsum(step[:-1]) > 0
-        return finish(docs, block.data, block.offsets, gone)
+        return finish(block.docs, block.data, block.offsets, gone)
 
     return work
 
@@ -361,8 +360,6 @@ def _digest(docs: pa.Table, data: np.ndarray, offsets: np.ndarray, gone: np.ndar
 
 
 def _spans(docs: pa.Table, data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.Table:
-    edge = np.diff(gone.astype(np.int8), prepend=0)
-    edge[offsets[:-1][offsets[:-1] < len(gone)]] = gone[offsets[:-1][offsets[:-1] < len(gone)]]
     kept, starts, ends = [], [], []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         g = gone[a:b]
