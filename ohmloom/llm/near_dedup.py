@@ -5,8 +5,8 @@ occurrence.  For each of ``SKETCHES`` hash functions the ``PICKED`` labelled k-m
 in text order; their combined hash is a bucket key.  Sharing a key takes the same k-mers in the same order, so the
 chance follows edit similarity, not only the set.
 
-Classes: texts of the same words are copies; the least doc_id stands for them.  In every bucket a seeded leader is
-chosen (a grouped minimum, so a bucket of any size is never gathered) and each member is aligned with it.  Buckets whose
+Classes: texts of the same words are copies; the least doc_id stands for them.  In every bucket the least id
+leads (a grouped minimum, so a bucket of any size is never gathered) and each member is aligned with it.  Buckets whose
 members these links leave in several components are finished exactly: members of different components meet in blocks of
 at most ``BLOCK`` against ``BLOCK``, where a lower bound of their edit distance from word counts (never above the true
 one) leaves few to align.  So every pair that shares a key ends up linked, joined otherwise, or shown to be unlike.
@@ -273,8 +273,8 @@ def classes(documents: DataFrame) -> DataFrame:
     nodes = named.where("n_words > 0").join(later, "id", "left_anti")
     # a doc_id with several texts may be a copy with one of them: its other texts are linked through their own groups
     members = materialise(nodes.select("id", F.explode("keys").alias("key")).distinct(), "near-members")
-    chosen = F.min(F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("id")))
-    buckets = members.groupBy("key").agg(chosen.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.id").alias("leader"), "n")
+    # one order of ids for all buckets: a group's members meet the same few leaders in most of their buckets
+    buckets = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     shared = materialise(members.join(buckets, "key"), "near-shared")
     stars = shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     words = materialise(_word_table(documents, shared.select("id").distinct()), "near-words")
