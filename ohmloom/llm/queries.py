@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, token_planes, topk
+from . import compact_windows, decontamination, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, token_planes, topk
 
 _MODULES = {
     "op1_decontamination": decontamination,
@@ -14,6 +14,7 @@ _MODULES = {
     "op7_mixing": mixing,
     "op8_token_counts": token_counts,
     "op9_topk": topk,
+    "op10_compact_windows": compact_windows,
 }
 
 
