@@ -97,7 +97,8 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     # drop windows that reach over the end of their text
     count = np.minimum(count, offsets[text + 1] - length + 1 - first)
     ok = count > 0
-    return h[ok], first[ok], count[ok], text[ok]
+    # least hashes crowd at the low end; mixed again they spread evenly over the buckets
+    return fold64(h[ok] * np.uint64(_BASE)), first[ok], count[ok], text[ok]
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
