@@ -188,11 +188,11 @@ def components(links: DataFrame, name: str, limit: int = 60) -> DataFrame:
             .distinct()
         )
         new = materialise(small, f"{name}-step")
-        # stars only: every u has one v and no v is a u
-        stats = new.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        chained = new.alias("x").join(new.select(F.col("u").alias("w")).distinct().alias("y"), F.col("x.v") == F.col("y.w"), "left_semi").limit(1).count()
+        roles = new.select(F.col("u").alias("id"), F.lit(1).alias("n"), F.lit(0).alias("heads")).union(new.select("v", F.lit(0), F.lit(1)))
+        open_ends = roles.groupBy("id").agg(F.sum("n").alias("n"), F.max("heads").alias("heads")).where("n > 1 or (n = 1 and heads = 1)")
         edges = new
-        if (stats or 0) <= 1 and not chained:
+        # stars only: every u has one v and no v is a u
+        if not open_ends.limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
