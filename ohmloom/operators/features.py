@@ -479,7 +479,7 @@ def _finite(v: float | None) -> float | None:
 
 
 def tall(features: DataFrame, by: list[str]) -> DataFrame:
-    return features.unpivot(by, [c for c in features.columns if c not in by], "feature", "value")
+    return features.unpivot(by, [F.col(f"`{c}`") for c in features.columns if c not in by], "feature", "value")
 
 
 def wide(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import rank_key, uniform
+from ..sources.io import cut
 from .align import first_by, interval_join
 
 SEED = 42
@@ -150,10 +151,11 @@ def apply(df: DataFrame, injector: Injector, events: DataFrame, seed: int = SEED
 
 def run(df: DataFrame, pack: Sequence[Injector] | None = None, seed: int = SEED, every_touched: bool = False) -> tuple[DataFrame, DataFrame]:
     """The changed frame and the log, one row for each window: the first injector and event there name it."""
-    log = None
+    log, df = None, cut(df, "inject")
     for order, injector in enumerate(pack or current_pack()):
-        events = pick(df, injector, seed, order)
+        events = cut(pick(df, injector, seed, order), "events")
         rows = log_rows(events, injector, order, every_touched, seed)
         log = rows if log is None else log.unionByName(rows)
-        df = apply(df, injector, events, seed)
+        # every step reads its predecessor several times
+        df = cut(apply(df, injector, events, seed), "inject")
     return df, first_by(log, ["window_id"], ["injector", "seq"]).select("window_id", "anomaly_type")

@@ -74,3 +74,19 @@ def materialize(spark: SparkSession, root: str, name: str, config: dict, compute
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """The rows as a written table in the folder that executors share (``spark.checkpoint.dir``): what reads them several
+    times does not compute them several times, and a lost executor loses nothing."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = tempfile.mkdtemp(prefix="ohmloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/ohmloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
