@@ -332,13 +332,13 @@ def anomaly_rate(spark, d):
 
 def minutes(spark: SparkSession, d: str) -> DataFrame:
     """A gap-free minute table of eleven channels and weather made from the events' means."""
-    per = _events(spark, d).groupBy(F.date_trunc("minute", "ts").alias("ts")).agg(F.avg("value").alias("v"))
+    per = _events(spark, d).groupBy(F.date_trunc("minute", "ts").alias("ts")).agg(F.avg("value").alias("reading"))
     ends = per.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     full = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 minute"))).alias("ts")).join(per, "ts", "left")
-    full = align.fill(full, ["v"], backward=True)
+    full = align.fill(full, ["reading"], backward=True)
     names = ("V", "I", "P", "Q", "S", "FRE", "HPE", "DWE", "CWE", "WOE", "B1E")
     hot = {"wx_Clear": (F.hour("ts") % 3 == 0).cast("int"), "wx_Rain": (F.hour("ts") % 3 == 1).cast("int"), "Temp (C)": 10 + 10 * F.sin(F.hour("ts") / 4)}
-    return full.withColumns({n: F.col("v") * (1 + 0.1 * i) for i, n in enumerate(names)} | hot).drop("v")
+    return full.withColumns({n: F.col("reading") * (1 + 0.1 * i) for i, n in enumerate(names)} | hot).drop("reading")
 
 
 @_query()
