@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import shuffle_partitions, table
 
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
@@ -74,12 +74,15 @@ def mix(
     mark = f"concat('{seed}:', coalesce(cast(doc_id as string), ''))"
     key = F.coalesce("source", F.lit(""))
     rows = (
-        sized.withColumns({"__k": key, "__null": F.col("source").isNull()})
+        # the hash of the text is taken here, so that the text itself need not travel unless it is asked for
+        sized.withColumns({"__k": key, "__null": F.col("source").isNull(), "__h": F.xxhash64("text")})
         .join(per.select(F.coalesce("source", F.lit("")).alias("__k"), F.col("source").isNull().alias("__null"), "source_size", "target"), ["__k", "__null"])
         .withColumn("shard", F.expr(f"{_SPARK_HASH.format(mark, 1)} % greatest(1, source_size div {shard_words})"))
+        # by shard: else the join's partitioning by source would serve the windows and keep a hot source in one task
+        .repartition(shuffle_partitions(documents.sparkSession), "__k", "__null", "shard")
     )
     # rows of one doc_id are told apart by what they hold, so that the order and the result are the same in every run
-    order = [F.expr(_SPARK_HASH.format(mark, 9)), F.col("doc_id"), F.xxhash64("text")]
+    order = [F.expr(_SPARK_HASH.format(mark, 9)), F.col("doc_id"), F.col("__h")]
     in_shard = Window.partitionBy("__k", "__null", "shard")
     rows = rows.withColumns(
         {
@@ -87,7 +90,7 @@ def mix(
             "shard_size": F.sum("size").over(in_shard),
         }
     )
-    return rows.transform(lambda d: _take(d, cap, block_words, seed)).drop("__k", "__null")
+    return rows.transform(lambda d: _take(d, cap, block_words, seed)).drop("__k", "__null", "__h")
 
 
 _STEPS = (
