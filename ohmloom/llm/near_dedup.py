@@ -48,8 +48,8 @@ def labelled(kmers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     sorted_own = own[order]
     new = np.ones(len(own), bool)
     new[1:] = sorted_own[1:] != sorted_own[:-1]
-    if new.all():
-        return kmers
+    if new.all():  # as below, with the number 0: a label may not depend on the texts beside it
+        return fold64(kmers.copy())
     first = np.flatnonzero(new)
     number = np.empty(len(own), np.uint64)
     number[order] = (np.arange(len(own)) - first[np.cumsum(new) - 1]).astype(np.uint64)

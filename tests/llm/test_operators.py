@@ -239,3 +239,9 @@ def test_pipeline_keeps_whole_classes(spark):
     assert 0 < once.count() <= out["quality classifier"].count() and once.select("text").distinct().count() == once.count()
     assert docs.count() == out["mixing sources to target weights"].count()
     assert all(list(d.columns) == list(once.columns) for n, d in out.items() if n != c.STAGES[-1][0])
+
+
+def test_labels_do_not_depend_on_the_texts_beside():
+    alone = near_dedup.labelled(np.array([1, 2, 3], np.uint64), np.array([0, 3]))
+    beside = near_dedup.labelled(np.array([1, 2, 3, 4, 4], np.uint64), np.array([0, 3, 5]))
+    assert (alone == beside[:3]).all() and beside[3] != beside[4]
