@@ -5,11 +5,12 @@ occurrence.  For each of ``SKETCHES`` hash functions the ``PICKED`` labelled k-m
 in text order; their combined hash is a bucket key.  Sharing a key takes the same k-mers in the same order, so the
 chance follows edit similarity, not only the set.
 
-Classes: texts of the same words are copies; the least doc_id stands for them.  In every bucket the least id
-leads (a grouped minimum, so a bucket of any size is never gathered) and each member is aligned with it.  Buckets whose
+Classes: texts of the same words are copies; the least doc_id stands for them.  In every bucket the
+member that meets most others over all its buckets leads, ties to the least id (a grouped maximum, so a bucket of any
+size is never gathered), and each member is aligned with it: most often that is the text the others were made from.  Buckets whose
 members these links leave in several components are finished exactly: members of different components meet in blocks of
-at most ``BLOCK`` against ``BLOCK``, where a lower bound of their edit distance from word counts (never above the true
-one) leaves few to align.  So every pair that shares a key ends up linked, joined otherwise, or shown to be unlike.
+at most ``BLOCK`` against ``BLOCK``, where a lower bound of their edit distance (never above the true one; from bitmaps of
+their words) leaves few to align.  So every pair that shares a key ends up linked, joined otherwise, or shown to be unlike.
 
 A link: edit distance over words of at most 20 % of the longer text (similarity 0.8 or more), by a bit-parallel
 alignment in the diagonal band of that width.  A class is a connected component of links; class_id is its least doc_id.
@@ -35,7 +36,7 @@ SKETCHES = 20
 PICKED = 2
 SIMILARITY = 0.8
 BLOCK = 256
-BINS = 128
+LEAST_BITS = 1024
 SEED = 11
 
 
@@ -84,16 +85,17 @@ def order_min_hash(kmers: np.ndarray, starts: np.ndarray, sketches: int = SKETCH
     return out
 
 
-def word_bins(words: np.ndarray, starts: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """How many words of each text fall in each bin, 255 at most (differences only shrink)."""
-    n = len(starts) - 1
-    text = np.repeat(np.arange(n), np.diff(starts))
-    full = np.bincount(text * bins + (words % np.uint64(bins)).astype(np.int64), minlength=n * bins)
-    return np.minimum(full, 255).astype(np.uint8).reshape(n, bins)
+def word_bits(label: np.ndarray) -> np.ndarray:
+    """A bitmap of a text's words, each labelled with the number of its occurrence, of the least power of two of bits
+    from 16 a word.  A replaced word flips two bits at most, an added or dropped one flips one."""
+    size = max(LEAST_BITS, 1 << (16 * len(label) - 1).bit_length()) if len(label) else LEAST_BITS
+    on = np.zeros(size, np.uint8)
+    on[(label & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(on, bitorder="little")
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """id, n_words, w1, w2 (identity of the words; null for a null text), bins, keys."""
+    """id, n_words, w1, w2 (identity of the words; null for a null text), bits, keys."""
 
     def work(batches):
         for batch in batches:
@@ -119,13 +121,14 @@ def signatures(documents: DataFrame) -> DataFrame:
                     kmers, at = shingle_hashes(words, sub_starts, SHINGLE)
                     for i, k in zip(has, order_min_hash(kmers, at).view(np.int64).tolist()):
                         keys[i] = k
-                bins = word_bins(words, starts)
+                label = labelled(words, starts)
+                bits = [word_bits(label[a:b]).tobytes() for a, b in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_words.astype(np.int32)), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["id", "n_words", "w1", "w2", "bins", "keys"],
+                    [part.column(0), pa.array(n_words.astype(np.int32)), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["id", "n_words", "w1", "w2", "bits", "keys"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(work, "id long, n_words int, w1 long, w2 long, bins binary, keys array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(work, "id long, n_words int, w1 long, w2 long, bits binary, keys array<long>")
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -212,6 +215,15 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a long, b long").distinct()
 
 
+def flips(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits that differ, the larger bitmap folded to the size of the smaller (which only hides some)."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_or.reduce(a.reshape(-1, len(b)), 0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _local_pairs(batches):
     """Rows sorted by (key, i, j): inside each, members of different components whose word counts allow a link."""
     held: list[pa.RecordBatch] = []
@@ -219,7 +231,8 @@ def _local_pairs(batches):
     def solve(rows: pa.Table):
         key = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
         ids, comp, side, n = (rows.column(c).to_numpy() for c in ("id", "comp", "side", "n_words"))
-        bins = np.frombuffer(b"".join(as_bytes(rows.column("bins"))), np.uint8).reshape(len(ids), -1).astype(np.int16)
+        keys = np.array(rows.column("keys").to_pylist(), np.int64)
+        bits = [np.frombuffer(b, np.uint64) for b in as_bytes(rows.column("bits"))]
         new = np.ones(len(ids), bool)
         new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
         edges = np.append(np.flatnonzero(new), len(ids))
@@ -230,12 +243,17 @@ def _local_pairs(batches):
                 # in one block: the rows behind; in two: the first side against the second
                 rest = np.arange(x + 1, hi) if one else np.arange(lo, hi)[side[lo:hi] == 1] if side[x] == 0 else np.zeros(0, int)
                 rest = rest[comp[rest] != comp[x]]
+                most = ((1 - SIMILARITY) * np.maximum(n[rest], n[x]) + 1e-9).astype(int)
+                rest = rest[np.abs(n[rest] - n[x]) <= most]
                 if not len(rest):
                     continue
-                most = ((1 - SIMILARITY) * np.maximum(n[rest], n[x]) + 1e-9).astype(int)
-                rest = rest[(np.abs(n[rest] - n[x]) <= most) & (np.abs(bins[rest] - bins[x]).sum(1) <= 2 * most)]
-                out_a += [int(min(ids[x], ids[r])) for r in rest]
-                out_b += [int(max(ids[x], ids[r])) for r in rest]
+                # two texts meet in many buckets: only the first that both have decides
+                same = keys[rest] == keys[x]
+                rest = rest[keys[x][same.argmax(1)] == key[0][lo]]
+                for r in rest:
+                    if flips(bits[x], bits[r]) + abs(int(n[r]) - int(n[x])) <= 2 * allowed(int(max(n[r], n[x]))):
+                        out_a.append(int(min(ids[x], ids[r])))
+                        out_b.append(int(max(ids[x], ids[r])))
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     last = None
@@ -273,9 +291,12 @@ def classes(documents: DataFrame) -> DataFrame:
     nodes = named.where("n_words > 0").join(later, "id", "left_anti")
     # a doc_id with several texts may be a copy with one of them: its other texts are linked through their own groups
     members = materialise(nodes.select("id", F.explode("keys").alias("key")).distinct(), "near-members")
-    # one order of ids for all buckets: a group's members meet the same few leaders in most of their buckets
-    buckets = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    shared = materialise(members.join(buckets, "key"), "near-shared")
+    counted = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    busy = materialise(members.join(counted, "key"), "near-busy")
+    # who meets most others over all its buckets is the likeliest centre of a group: one order of leaders for all buckets
+    weighed = busy.join(busy.groupBy("id").agg(F.sum("n").alias("weight")), "id")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("last"))).alias("top")).select("key", (-F.col("top.last")).alias("leader"))
+    shared = materialise(busy.join(leaders, "key"), "near-shared")
     stars = shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     words = materialise(_word_table(documents, shared.select("id").distinct()), "near-words")
     links = materialise(_verified(stars, words), "near-links")
@@ -283,11 +304,19 @@ def classes(documents: DataFrame) -> DataFrame:
 
     # what shares a bucket and is still apart
     apart = shared.select("key", "id", "n").join(first, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("comp"))
-    spread = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = apart.join(spread.select("key", blocks.alias("blocks")), "key").join(nodes.select("id", "n_words", "bins").dropDuplicates(["id"]), "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "n_words", "bins")
+    parts = apart.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    spread = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    # the largest component's members are joined already: they meet the rest only, the rest meets all
+    few, many = (F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int") for c in (F.col("n") - F.col("main.n"), F.col("main.n")))
+    rows = apart.select("key", "id", "comp").join(spread.select("key", F.col("main.comp").alias("main"), few.alias("few"), many.alias("many")), "key")
+    hashed = F.xxhash64("id")
+    in_main = F.col("comp") == F.col("main")
+    own = F.when(in_main, F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int")
+    others = F.when(in_main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp")
+    # a doc_id with several texts stands there with those that have the key
+    rows = rows.join(nodes.select("id", "n_words", "bits", "keys"), "id").where(F.array_contains("keys", F.col("key")))
     met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_local_pairs, "a long, b long").distinct()
     more = _verified(met.join(links, ["a", "b"], "left_anti"), words)
     known = links.union(materialise(more, "near-more")).union(copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))

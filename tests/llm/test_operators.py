@@ -241,6 +241,16 @@ def test_pipeline_keeps_whole_classes(spark):
     assert all(list(d.columns) == list(once.columns) for n, d in out.items() if n != c.STAGES[-1][0])
 
 
+def test_lower_bound_of_distance():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = np.array([rng.randint(0, 30) for _ in range(rng.randint(1, 200))], np.uint64)
+        b = np.array([x if rng.random() > 0.2 else rng.randint(0, 30) for x in a if rng.random() > 0.1] or [1], np.uint64)
+        label = near_dedup.labelled(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        bits = [np.frombuffer(near_dedup.word_bits(x).tobytes(), np.uint64) for x in (label[: len(a)], label[len(a) :])]
+        assert near_dedup.flips(*bits) + abs(len(a) - len(b)) <= 2 * near_dedup._plain(a.tolist(), b.tolist(), 999)
+
+
 def test_labels_do_not_depend_on_the_texts_beside():
     alone = near_dedup.labelled(np.array([1, 2, 3], np.uint64), np.array([0, 3]))
     beside = near_dedup.labelled(np.array([1, 2, 3, 4, 4], np.uint64), np.array([0, 3, 5]))
