@@ -222,6 +222,25 @@ def test_compact_windows(docs, rows, nothing):
         assert every[a : b + 1].min() == every[p] and b - a + 1 >= 10
 
 
+def test_compact_windows_side_by_side(spark):
+    rng = random.Random(11)
+    p, q, r = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    texts = [" ".join([p, prose(rng, 300), q, prose(rng, 30), r]), f"{p} {q}", f"{r} {p}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in compact_windows.find_passages(docs).collect()}
+    assert all(got[i].n_dup_words == 120 and got[i].class_id == 0 for i in (1, 2))
+    hashes = lambda text: np.array([hash(w) & (1 << 62) - 1 for w in text.split()], np.uint64)
+    assert compact_windows.passages(hashes(f"{p} {q}"), hashes(" ".join([q, prose(rng, 300), p]))) == [(0, 60), (60, 120)]
+    assert compact_windows.passages(np.full(300, 7, np.uint64), np.full(200, 7, np.uint64)) == [(0, 300)]
+    # words replaced all over: what is found is alike, and nearly all of it is found
+    for alike, step in ((0.95, 20), (0.9, 10), (0.85, 7)):
+        near = p.split()
+        near[3::step] = ["zz"] * len(near[3::step])
+        mine, theirs = hashes(" ".join([prose(rng, 40), *near, prose(rng, 40)])), hashes(" ".join([prose(rng, 30), p, prose(rng, 30)]))
+        [(a, b)] = compact_windows.passages(mine, theirs)
+        assert 38 <= a <= 45 and 95 <= b <= 102, (alike, a, b)
+
+
 def test_words_are_those_of_the_contract():
     text = "Ünï A-b C3 d_e 中文\x7f.z"
     assert [w.decode() for w in words_of(text.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
