@@ -241,6 +241,25 @@ def test_compact_windows_side_by_side(spark):
         assert 38 <= a <= 45 and 95 <= b <= 102, (alike, a, b)
 
 
+def test_compact_windows_near_copies(spark):
+    rng = random.Random(12)
+    texts, words = {}, [prose(rng, 1) + str(i) for i in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    for i in range(40):
+        p = some(60)
+        near = list(p)
+        for k in rng.sample(range(60), 11):
+            near[k] = some(1)[0]
+        texts |= {i: some(80) + p + some(80), 100 + i: some(60) + near + some(70)}
+        # most of the passage stands in a still earlier text, but not enough of it for that text to be a copy
+        q = some(60)
+        texts |= {1000 + i: some(80) + q[:45] + some(80), 1100 + i: some(70) + q + some(60), 1200 + i: some(50) + q + some(90)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {(r.m, r.lead) for r in compact_windows.near_passages(docs).collect()}
+    assert sum((100 + i, i) in got for i in range(40)) >= 38
+    assert sum((1200 + i, 1100 + i) in got for i in range(40)) >= 39
+
+
 def test_words_are_those_of_the_contract():
     text = "Ünï A-b C3 d_e 中文\x7f.z"
     assert [w.decode() for w in words_of(text.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
