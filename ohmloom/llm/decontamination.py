@@ -16,6 +16,7 @@ ignored; other columns of ``documents`` are carried through by ``scan(..., keep=
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -125,7 +126,6 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
     The benchmark is streamed to the driver block by block (its rows, never the corpus).
     """
-    spark = documents.sparkSession
     items = (
         (r[0], bytes(r[1]))
         for r in benchmark.where("item_id is not null and text is not null")
@@ -133,40 +133,46 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         .distinct()
         .toLocalIterator()
     )
+    blocks = blocks_of(items, window, block_bytes) if window else iter(())
+    block, second = next(blocks, None), next(blocks, None)
+    if block is None:
+        return _no_items(documents, keep)
+    if second is None:
+        return _scan_block(documents, block, window, keep).selectExpr(*[f"`{c}`" for c in keep], "n_words", f"{_COUNT} as n_hit", "item_ids", "byte_starts", "byte_ends")
+    return _many_blocks(documents, itertools.chain([block, second], blocks), window, keep)
+
+
+_COUNT = "aggregate(runs, 0L, (n, r) -> n + r.b - r.a)"
+
+
+def _scan_block(documents: DataFrame, block: list[tuple[str, bytes]], window: int, keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns, n_words, runs, item_ids, byte_starts, byte_ends by the automaton of one block."""
     schema = documents.select(*keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     out_schema = f"{fields}, n_words long, runs array<struct<a:int,b:int>>, item_ids array<string>, byte_starts array<long>, byte_ends array<long>"
     run_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    parts = []
-    for block in blocks_of(items, window, block_bytes) if window else []:
-        shared = spark.sparkContext.broadcast(block)
-        key = hashlib.sha256(repr((window, sorted(block))).encode()).digest()
-
-        def work(batches, shared=shared, key=key):
-            scanner = _scanner(key, shared.value, window)
-            for batch in batches:
-                n_words, runs, ids, lo, hi = [], [], [], [], []
-                for text in as_bytes(batch.column(batch.schema.get_field_index("__text"))):
-                    n, found, items = scanner.scan(text)
-                    spans = byte_spans(text, found) if found else []
-                    n_words.append(n)
-                    runs.append([{"a": a, "b": b} for a, b in found])
-                    ids.append(sorted(items))
-                    lo.append([a for a, _ in spans])
-                    hi.append([b for _, b in spans])
-                arrays = [batch.column(i) for i in range(len(keep))] + [
-                    pa.array(n_words, pa.int64()), pa.array(runs, run_type), pa.array(ids, pa.list_(pa.string())),
-                    pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "runs", "item_ids", "byte_starts", "byte_ends"])
-
-        parts.append(documents.select(*keep, F.col("text").alias("__text")).mapInArrow(work, out_schema))
-    count = "aggregate(runs, 0L, (n, r) -> n + r.b - r.a)"
-    if not parts:
-        return _no_items(documents, keep)
-    if len(parts) == 1:
-        return parts[0].selectExpr(*[f"`{c}`" for c in keep], "n_words", f"{count} as n_hit", "item_ids", "byte_starts", "byte_ends")
-    return _many_blocks(documents, parts, keep, count)
+    shared = documents.sparkSession.sparkContext.broadcast(block)
+    key = hashlib.sha256(repr((window, sorted(block))).encode()).digest()
+
+    def work(batches):
+        scanner = _scanner(key, shared.value, window)
+        for batch in batches:
+            n_words, runs, ids, lo, hi = [], [], [], [], []
+            for text in as_bytes(batch.column(batch.schema.get_field_index("__text"))):
+                n, found, items = scanner.scan(text)
+                spans = byte_spans(text, found) if found else []
+                n_words.append(n)
+                runs.append([{"a": a, "b": b} for a, b in found])
+                ids.append(sorted(items))
+                lo.append([a for a, _ in spans])
+                hi.append([b for _, b in spans])
+            arrays = [batch.column(i) for i in range(len(keep))] + [
+                pa.array(n_words, pa.int64()), pa.array(runs, run_type), pa.array(ids, pa.list_(pa.string())),
+                pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "runs", "item_ids", "byte_starts", "byte_ends"])
+
+    return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(work, out_schema)
 
 
 def _no_items(documents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -180,17 +186,16 @@ def _no_items(documents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return counted.selectExpr("*", "0L as n_hit", "cast(array() as array<string>) as item_ids", "cast(array() as array<long>) as byte_starts", "cast(array() as array<long>) as byte_ends")
 
 
-def _many_blocks(documents: DataFrame, parts: list[DataFrame], keep: tuple[str, ...], count: str) -> DataFrame:
-    """Unite what several automata found in the same row: rows are told apart by a number fixed in a written table."""
-    raise_on = "a benchmark of several blocks needs a row key"
-    key = keep[0]
-    if documents.groupBy(key).count().where("count > 1 or `" + key + "` is null").limit(1).count():
-        raise ValueError(f"{raise_on}: `{key}` repeats or is null")
-    one = parts[0]
-    for p in parts[1:]:
-        one = one.union(p)
-    grouped = materialise(one, "decontamination").groupBy(*keep).agg(
-        F.max("n_words").alias("n_words"),
+def _many_blocks(documents: DataFrame, blocks: Iterator[list[tuple[str, bytes]]], window: int, keep: tuple[str, ...]) -> DataFrame:
+    """Unite what several automata found in the same row: rows are told apart by a number fixed in a written table, so
+    null and repeated ids are answered as by one automaton."""
+    columns = list(dict.fromkeys([*keep, "text"]))
+    rows = materialise(documents.select(*columns, F.monotonically_increasing_id().alias("__row")), "decontamination-rows")
+    one = None
+    for block in blocks:
+        hits = _scan_block(rows, block, window, ("__row",)).where("size(runs) > 0").drop("n_words")
+        one = hits if one is None else one.union(hits)
+    grouped = materialise(one, "decontamination").groupBy("__row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("byte_starts").alias("a"), F.col("byte_ends").alias("b"))))).alias("spans"),
@@ -201,9 +206,13 @@ def _many_blocks(documents: DataFrame, parts: list[DataFrame], keep: tuple[str,
         "concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, r.b)))), "
         "concat(m, array(named_struct('a', r.a, 'b', r.b))))), x -> true)"
     )
-    return grouped.withColumn("runs", F.expr(merged.format("runs", "int"))).withColumn("spans", F.expr(merged.format("spans", "bigint"))).selectExpr(
-        *[f"`{c}`" for c in keep], "n_words", f"{count} as n_hit", "item_ids",
-        "transform(spans, s -> s.a) as byte_starts", "transform(spans, s -> s.b) as byte_ends",
+    found = grouped.withColumn("runs", F.expr(merged.format("runs", "int"))).withColumn("spans", F.expr(merged.format("spans", "bigint"))).selectExpr(
+        "__row", f"{_COUNT} as hit", "item_ids as ids", "transform(spans, s -> s.a) as los", "transform(spans, s -> s.b) as his",
+    )
+    counted = _no_items(rows, (*keep, "__row")).select(*keep, "__row", "n_words")
+    return counted.join(found, "__row", "left").selectExpr(
+        *[f"`{c}`" for c in keep], "n_words", "coalesce(hit, 0L) as n_hit", "coalesce(ids, cast(array() as array<string>)) as item_ids",
+        "coalesce(los, cast(array() as array<long>)) as byte_starts", "coalesce(his, cast(array() as array<long>)) as byte_ends",
     )
 
 

@@ -58,6 +58,15 @@ def test_decontamination(spark, docs, rows, nothing):
     assert many == {d: (r.n_words, r.n_hit, r.item_ids) for d, r in got.items() if d is not None}
 
 
+def test_decontamination_blocks_with_null_and_repeated_ids(spark, docs, rows):
+    bench = spark.createDataFrame([(i, " ".join(rows[i][1].split()[10:30])) for i in range(6)] + [(7, "no id here")], "item_id long, text string")
+    plain = lambda **how: sorted(map(str, decontamination.scan(docs, bench, **how).collect()))
+    whole = plain()
+    assert plain(block_bytes=64) == whole and len(whole) == len(rows)
+    assert plain(block_bytes=64, keep=("doc_id", "text", "source")) == plain(keep=("doc_id", "text", "source"))
+    assert any("doc_id=None" in r and "'7'" in r for r in whole)
+
+
 def test_suffix_dedup(docs, rows, nothing):
     first = {}
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
