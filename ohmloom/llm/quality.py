@@ -4,8 +4,8 @@ A text's UTF-8 bytes are embedded, ``FILTERS`` learned filters of ``WIDTH`` byte
 ``STRIDE`` bytes from the first byte to past the last, so every byte is seen; each filter's response is max-pooled over
 the text, and (so that one odd chunk in a long text does not decide alone) averaged over it; one layer combines the
 pooled values into a probability.  Trained with Adam on the driver from at most ``TRAIN_TEXTS`` labelled texts (those
-with the smallest hash), of which training sees up to ``TRAIN_BYTES`` bytes from seeded places, while scoring covers
-every byte of every text.
+with the smallest hash), of which every epoch sees up to ``TRAIN_BYTES`` bytes from a seeded place of the whole text (the
+executors cut them, so no long text travels), while scoring covers every byte of every text.
 
 Labels come only from rows whose crc32(doc_id as text) mod 4 is not 2.  Only text is an input of a score.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, table
+from .common import as_bytes, flat, table
 
 EMBED = 8
 WIDTH = 16
@@ -113,7 +113,8 @@ class ByteCNN:
         d_embed[_PAD] = 0
         return {"embed": d_embed, "filters": x.T @ d_taps, "bias": dy.sum(0), "out": pooled.T @ err, "shift": err.sum(keepdims=True)}
 
-    def fit(self, texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> "ByteCNN":
+    def fit(self, texts: list[bytes | list[bytes]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> "ByteCNN":
+        """A text is given whole, or as the crops of it that the epochs see in turn."""
         label = np.array(labels, np.float32)
         if len(set(labels)) < 2:
             self.share = float(label.mean()) if len(label) else 0.5
@@ -128,6 +129,9 @@ class ByteCNN:
                 some = order[lo : lo + BATCH]
                 parts = []
                 for i in some:
+                    if isinstance(texts[i], list):
+                        parts.append(texts[i][epoch % len(texts[i])])
+                        continue
                     room = max(0, len(texts[i]) - TRAIN_BYTES)
                     at = int(rng.integers(0, room + 1))
                     parts.append(texts[i][at : at + TRAIN_BYTES])
@@ -180,15 +184,31 @@ def fold(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
+def crops(text: bytes, n: int = EPOCHS, size: int = TRAIN_BYTES) -> list[bytes]:
+    """``n`` stretches of ``size`` bytes, one from a place in each n-th of the text, seeded by the text (a short text itself)."""
+    room = len(text) - size
+    if room <= 0:
+        return [text]
+    rng = np.random.default_rng([SEED, zlib.crc32(text)])
+    at = ((np.arange(n) + rng.random(n)) * (room + 1) / n).astype(np.int64)
+    return [text[x : x + size] for x in rng.permutation(at).tolist()]
+
+
+def _crop(batches):
+    for batch in batches:
+        cut = [crops(t or b"") for t in as_bytes(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.list_(pa.binary()))], ["doc_id", "quality", "crops"])
+
+
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_TEXTS) -> ByteCNN:
-    """Fit on at most ``most`` labelled texts outside the held-out fold, each cut to 8 * TRAIN_BYTES bytes for training."""
+    """Fit on at most ``most`` labelled texts outside the held-out fold, by crops from all over each text."""
     usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & usable).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    texts = documents.select("doc_id", F.substring(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 1, 8 * TRAIN_BYTES).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # chosen: at most ``most`` pairs of numbers
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["quality"], bytes(r["text"])))
-    return ByteCNN().fit([bytes(r["text"]) for r in rows], [r["quality"] for r in rows])
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string"), "quality", "text")
+    rows = texts.mapInArrow(_crop, "doc_id string, quality int, crops array<binary>").collect()  # EPOCHS * TRAIN_BYTES a text at most
+    rows = sorted(((r["doc_id"], r["quality"], [bytes(c) for c in r["crops"]]) for r in rows))
+    return ByteCNN().fit([c for _, _, c in rows], [q for _, q, _ in rows])
 
 
 def score(documents: DataFrame, model: ByteCNN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -269,6 +269,18 @@ def test_compact_windows_near_copies(spark):
     assert sum((1200 + i, 1100 + i) in got for i in range(40)) >= 39
 
 
+def test_quality_trains_on_the_whole_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.ByteCNN, "fit", lambda self, texts, labels: seen.append((texts, labels)) or self)
+    docs = spark.createDataFrame([(i, "a" * 20000 + "b" * 60000 + "c" * 20000) for i in (1, 2, 3)] + [(4, None), (5, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    quality.train(docs.repartition(3), labels)
+    assert seen[0] == seen[1]
+    long = [t for t in seen[0][0] if len(t) > 1]
+    assert long and all(len(t) == quality.EPOCHS and {len(c) for c in t} == {quality.TRAIN_BYTES} and set(b"".join(t)) == set(b"abc") for t in long)
+
+
 def test_words_are_those_of_the_contract():
     text = "Ünï A-b C3 d_e 中文\x7f.z"
     assert [w.decode() for w in words_of(text.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
