@@ -13,6 +13,7 @@ repeated rows count as often as they stand there; groups whose documents all wen
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,17 +39,12 @@ def count_bpe(documents: DataFrame, version: str = "byte_bpe_50k-1", tokenizer_p
 
     def work(batches):
         for batch in batches:
-            sums: dict[tuple, list[int]] = {}
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                texts = some.column(2).to_pylist()
-                for source, lang, text, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), texts, encoder(path).encode(texts)):
-                    s = sums.setdefault((source, lang), [0, 0, 0])
-                    s[0] += 1
-                    s[1] += len(ids) // 4
-                    s[2] += len(text or "")
-            columns = [pa.array([k[i] for k in sums], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, ["source", "lang", *SUMS])
+            _, counts = encoder(path).encode(batch.column(2))
+            chars = pc.fill_null(pc.utf8_length(batch.column(2)), 0).cast(pa.int64())
+            rows = pa.table([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), chars], ["source", "lang", "t", "c"])
+            got = rows.group_by(["source", "lang"]).aggregate([([], "count_all"), ("t", "sum"), ("c", "sum")])
+            got = got.select(["source", "lang", "count_all", "t_sum", "c_sum"]).rename_columns(["source", "lang", *SUMS])
+            yield from got.combine_chunks().to_batches()
 
     counted = documents.select("source", "lang", "text").mapInArrow(work, "source string, lang string, n_docs long, n_tokens long, n_chars long")
     return counted.select("source", "lang", F.lit(version).alias("tokenizer"), *SUMS)

@@ -9,8 +9,8 @@ Layout: ``OLBP`` | u8 version | u8 planes of an id (4: bytes, 32: bits) | u16 0
 document index (zstd) | chunk index | tail ``<QQIIQQ4s>``: lengths of both indexes, chunk size, number of chunks,
 documents and ids, ``OLBP``.
 
-Files are kept as rows of a Parquet table (part, shard, n_docs, n_ids, file): any store that Spark writes will do,
-Spark's commit makes the write atomic and a lost task is simply written again.
+The files are binary cells of a Parquet table (part, shard, n_docs, n_ids, file), not files of a folder: any store that
+Spark writes will do, Spark's commit makes the write atomic and a lost task is simply written again.
 
 Defined results: a null or empty text is just the end id; null doc_ids come first; equal doc_ids keep a fixed order
 (by text); an empty table gives no shards and no rows.
@@ -36,6 +36,7 @@ END_ID = 0
 CHUNK_IDS = 1 << 16
 SHARD_IDS = 1 << 22
 PART_BYTES = 8 << 20
+STEP_ROWS = 4096
 LEVEL = 1
 _TAIL = struct.Struct("<QQIIQQ4s")
 _ENTRY = struct.Struct("<QII")
@@ -62,24 +63,23 @@ def from_planes(planes: list[bytes | None], n: int) -> np.ndarray:
     return ids
 
 
-def write_shard(doc_ids: list[int | None], ids: list[bytes], bits: bool = False, chunk_ids: int = CHUNK_IDS, level: int = LEVEL) -> bytes:
-    """The file of a shard; ``ids`` holds each document's little-endian 32-bit ids."""
+def write_shard(doc_ids: list[int | None], every: np.ndarray, lengths: list[int], bits: bool = False, chunk_ids: int = CHUNK_IDS, level: int = LEVEL) -> bytes:
+    """The file of a shard: the ids of all its documents, one after another, and how many each has."""
     import zstandard
 
     press = zstandard.ZstdCompressor(level=level).compress
     n_planes = 32 if bits else 4
-    every = np.frombuffer(b"".join(ids), "<u4")
+    every = every.astype("<u4", copy=False)
     out, index, at = [MAGIC, bytes([1, n_planes, 0, 0])], [], 8
     for lo in range(0, len(every), chunk_ids):
         part = every[lo : lo + chunk_ids]
         planes = [press(p) if any_bit(p) else b"" for p in to_planes(part, bits)]
-        index.append(_ENTRY.pack(at, len(part), zlib.crc32(part.tobytes())) + struct.pack(f"<{n_planes}I", *map(len, planes)))
+        index.append(_ENTRY.pack(at, len(part), zlib.crc32(part)) + struct.pack(f"<{n_planes}I", *map(len, planes)))
         out += planes
         at += sum(map(len, planes))
-    lengths = np.array([len(x) // 4 for x in ids], "<u8")
     named = np.array([0 if d is None else d for d in doc_ids], "<i8")
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    docs = press(named.tobytes() + lengths.tobytes() + known.tobytes())
+    docs = press(named.tobytes() + np.array(lengths, "<u8").tobytes() + known.tobytes())
     chunks = b"".join(index)
     return b"".join([*out, docs, chunks, _TAIL.pack(len(docs), len(chunks), chunk_ids, len(index), len(doc_ids), len(every), MAGIC)])
 
@@ -140,6 +140,7 @@ class Shard:
 
 
 _FILES = "part int, shard int, n_docs long, n_ids long, file binary"
+_FILE_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
 
 def write_files(documents: DataFrame, tokenizer_path: str | None = None, bits: bool = False, shard_ids: int = SHARD_IDS, end_id: int = END_ID) -> DataFrame:
@@ -150,24 +151,32 @@ def write_files(documents: DataFrame, tokenizer_path: str | None = None, bits: b
     def work(batches):
         from pyspark import TaskContext
 
-        part, shard, names, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        part, shard, names, ids, lengths, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def file():
-            return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "file": pa.array([write_shard(names, ids, bits)], pa.binary())}
-            )
+            file = write_shard(names, np.concatenate(ids), lengths, bits)
+            values = [pa.array([x], kind) for x, kind in zip((part, shard, len(names), held, file), _FILE_TYPES)]
+            return pa.RecordBatch.from_arrays(values, ["part", "shard", "n_docs", "n_ids", "file"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                for d, got in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1).to_pylist())):
-                    names.append(d)
-                    ids.append(got + end)
-                    held += len(got) // 4 + 1
+            for lo in range(0, batch.num_rows, STEP_ROWS):
+                some = batch.slice(lo, STEP_ROWS)
+                got, counts = encoder(path).encode(some.column(1))
+                ends = np.cumsum(counts)
+                got, ends = np.insert(got, ends, end_id).astype("<u4", copy=False), ends + np.arange(1, len(ends) + 1)
+                named, done = some.column(0).to_pylist(), 0
+                while done < len(named):
+                    # up to the document that fills the shard
+                    base = int(ends[done - 1]) if done else 0
+                    upto = min(len(named), int(np.searchsorted(ends, base + shard_ids - held)) + 1)
+                    names += named[done:upto]
+                    lengths += np.diff(ends[done:upto], prepend=base).tolist()
+                    ids.append(got[base : int(ends[upto - 1])])
+                    held += len(ids[-1])
+                    done = upto
                     if held >= shard_ids:
                         yield file()
-                        shard, names, ids, held = shard + 1, [], [], 0
+                        shard, names, ids, lengths, held = shard + 1, [], [], [], 0
         if names:
             yield file()
 
@@ -181,7 +190,7 @@ def read_files(files: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             for part, shard, file in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rows = [(d, lo, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes())) for d, lo, ids in Shard(file).documents()]
+                rows = [(d, lo, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4"))) for d, lo, ids in Shard(file).documents()]
                 d, lo, n, c = zip(*rows)
                 k = len(rows)
                 yield pa.RecordBatch.from_arrays(

@@ -1,9 +1,13 @@
 """Exact token ids of whole texts with a byte-level BPE of the tokenizers library, remembering pieces.
 
-The library's pre-tokenizer never joins text across the start of a run of white space (no alternative of its pattern
-reaches from other characters into white space), so the ids of a text are the ids of its pieces, one after another, a
-piece being cut before white space that follows other characters.  Prose repeats its pieces; each is encoded once for
-as long as the memory of ``most`` pieces lasts.
+The library's pre-tokenizer takes a blank together with the characters that follow it, no alternative of its pattern
+reaches from other characters into white space, and of a run of white space before another character only the last is
+apart from the rest.  So a text may be cut before every blank and around every line feed, and its ids are those of its
+pieces one after another, unless it has two white spaces with a third or the end behind them (or a special token's string);
+only such texts are cut by a slower pattern, where white space follows other characters.
+
+A batch is cut, its pieces are numbered and its ids are put together by Arrow and numpy; Python sees each piece once a
+step, and the library sees it once for as long as the memory of ``most`` pieces lasts.
 """
 
 from __future__ import annotations
@@ -12,15 +16,22 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces held by one Python worker before it starts anew (about 200 bytes each), and the longest piece that is held.
-MOST_PIECES = 600_000
-LONGEST_PIECE = 64
+#: Pieces, and their ids, held by one Python worker before it starts anew (about 150 bytes a piece).
+MOST_PIECES = 1_000_000
+MOST_IDS = 8 * MOST_PIECES
+#: Bytes of text that are cut at a time.
+STEP_BYTES = 8 << 20
 
-#: White space followed by a blank: then a blank need not start its run and pieces have to be found by pattern.
-_RUN = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+#: Two white spaces and more of it (or the end); for Arrow's engine, whose \s is ASCII only, by code points.
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_RUN = rf"{_SPACE}{_SPACE}({_SPACE}|\z)"
+_CUT = re.compile(r"(?<=\S)(?=\s)")
+#: Pieces that can be encoded side by side, a line feed between them: no white space but a leading blank.
+_PLAIN = re.compile(r" ?\S+\Z")
 
 
 def default_path() -> str:
@@ -29,56 +40,135 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (lengths[0] numbers), then those of the next."""
+    ends = np.cumsum(lengths)
+    out = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    some = np.flatnonzero(lengths)
+    if not len(some):
+        return out
+    heads = ends[some] - lengths[some]
+    out[heads] = starts[some]
+    out[heads[1:]] -= starts[some[:-1]] + lengths[some[:-1]] - 1
+    return np.cumsum(out, out=out)
+
+
 class PieceEncoder:
-    def __init__(self, path: str, most: int = MOST_PIECES):
+    def __init__(self, path: str, most: int = MOST_PIECES, most_ids: int = MOST_IDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.known: dict[str, bytes] = {}
+        self.most, self.most_ids = most, most_ids
+        # a special token's string ends what the pattern sees, like the end of the text
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.slow = "|".join([_RUN, *special])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts, self.ids, self.n_ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Pieces without their leading blank."""
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)):
-            self.known[piece] = np.array(got.ids, "<u4").tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text; a null is empty."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
+        """Pieces as they stand in the text.  Most are encoded as lines of one text, which costs the library half as much."""
+        lines, others = [], []
+        for p in pieces:
+            (lines if _PLAIN.match(p) else others).append(p)
+        feed = self._encoded(["\n"])[0][0]
+        for lo in range(0, len(lines), 256):
+            some = lines[lo : lo + 256]
+            got = np.array(self._encoded(["\n".join(some) + "\n"])[0], np.uint32)
+            ends = np.flatnonzero(got == feed)
+            if len(ends) != len(some):  # the tokenizer has an id that holds a line feed and more: one by one
+                others += some
                 continue
-            if _RUN.search(text):
-                head, *rest = _CUT.split(text)
-                parts, odd = [], {}
-                for i, piece in enumerate(rest):
-                    if piece[0] == " " and len(piece) <= LONGEST_PIECE:
-                        parts.append(piece[1:])
-                    else:
-                        odd[i] = piece
-                        parts.append("")
-            else:
-                head, *parts = text.split(" ")
-                odd = {}
-                if max(map(len, parts), default=0) > LONGEST_PIECE:
-                    odd = {i: " " + p for i, p in enumerate(parts) if len(p) > LONGEST_PIECE}
-                    parts = ["" if i in odd else p for i, p in enumerate(parts)]
-            missing = set(parts).difference(self.known)
-            if missing:
-                if len(self.known) + len(missing) > self.most:
-                    self.known.clear()
-                    missing = set(parts)
-                self._learn(list(missing))
-            ids = list(map(self.known.__getitem__, parts))
-            for i, piece in odd.items():
-                ids[i] = self._whole(piece)
-            out.append((self._whole(head) if head else b"") + b"".join(ids))
-        return out
+            self._keep(some, got[got != feed], ends - np.arange(len(ends)))
+        for lo in range(0, len(others), 1024):
+            some = others[lo : lo + 1024]
+            got = self._encoded(some)
+            self._keep(some, np.concatenate([np.array(g, np.uint32) for g in got]), np.cumsum([len(g) for g in got]))
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n = len(self.known)
+        if n + len(pieces) + 1 > len(self.starts):
+            self.starts = np.append(self.starts, np.zeros(max(len(self.starts), len(pieces) + 1), np.int64))
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32))
+        self.starts[n + 1 : n + 1 + len(pieces)] = self.n_ids + ends
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+
+    def _have(self, pieces: list[str]) -> None:
+        """See to it that distinct pieces are known; may forget others, so it is asked once for all pieces of a step."""
+        missing = [p for p in pieces if p not in self.known]
+        if missing and self.known and (len(self.known) + len(missing) > self.most or self.n_ids > self.most_ids):
+            self._forget()
+            missing = pieces
+        self._learn(missing)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; a null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        ids, counts, lo = [], [], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP_BYTES, side="right")))
+            some = self._step(texts.slice(lo, hi - lo))
+            ids.append(some[0])
+            counts.append(some[1])
+            lo = hi
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.slow).to_numpy(zero_copy_only=False))
+        slow = {int(i): _CUT.split(texts[int(i)].as_py()) for i in odd}
+        if slow:
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            texts = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), texts)
+        by_line = pc.split_pattern(texts, "\n")
+        lines = by_line.offsets.to_numpy().astype(np.int64)
+        cut = pc.split_pattern(by_line.flatten(), " ")
+        begin = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.diff(begin)
+        # every piece but a line's first begins with the blank that was cut away
+        first = begin[:-1] - begin[0]
+        head = np.zeros(len(number), bool)
+        head[first] = True
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False)
+        heads, inner = (np.flatnonzero(np.bincount(number[m], minlength=len(pieces))) for m in (head, ~head))
+        asked = dict.fromkeys(["\n", *pieces[heads].tolist()])
+        asked.update(dict.fromkeys([" " + p for p in pieces[inner].tolist()]))
+        for parts in slow.values():
+            asked.update(dict.fromkeys(parts))
+        self._have(list(asked))
+        place = self.known
+        as_head, as_inner = np.zeros((2, len(pieces)), np.int64)
+        as_head[heads] = [place[p] for p in pieces[heads].tolist()]
+        as_inner[inner] = [place[" " + p] for p in pieces[inner].tolist()]
+        number = np.where(head, as_head[number], as_inner[number])
+        # a line feed stands before every line but a text's first
+        fed = np.ones(len(first), bool)
+        fed[lines[:-1] - lines[0]] = False
+        number = np.insert(number, first[fed], place["\n"])
+        size = np.add.reduceat(size + fed, lines[:-1] - lines[0])
+        if slow:
+            bits, last, edges = [], 0, np.append(0, np.cumsum(size))
+            for i, parts in slow.items():
+                bits += [number[last : edges[i]], np.array([place[p] for p in parts], np.int64)]
+                size[i], last = len(parts), edges[i + 1]
+            number = np.concatenate([*bits, number[last:]])
+        lengths = self.starts[number + 1] - self.starts[number]
+        ids = self.ids[_spread(self.starts[number], lengths)]
+        total = np.append(0, np.cumsum(lengths))
+        edges = np.append(0, np.cumsum(size))
+        return ids, total[edges[1:]] - total[edges[:-1]]
 
 
 _encoders: dict[str, PieceEncoder] = {}

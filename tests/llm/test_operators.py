@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,8 +137,13 @@ def test_quality(spark, docs, nothing):
 def test_pieces_equal_the_library():
     texts = ["Hello  world", " lead", "trail ", "a\n b", "tabs\t\tand  \n\n x", "it's 123's “quoted”  nb", "x" * 300 + " y", "", "  wide  ", "<|endoftext|> ok<|endoftext|>", "a \n b \r\n c"]
     encoder = PieceEncoder(default_path())
-    for text, ids in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    rng = random.Random(9)
+    signs = ["a", "B", " ", " ", "\n", "\t", "'s", "1", "é", "!", "\r", "\x85", "\x1c", "\u3000", "<|endoftext|>", None]
+    texts += [None] + ["".join(rng.choice(signs[:-1]) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for some in (encoder, PieceEncoder(default_path(), most=50)):
+        ids, counts = some.encode(pa.array(texts, pa.string()))
+        for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+            assert part.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_planes(docs, rows, nothing):
@@ -155,7 +161,7 @@ def test_token_planes(docs, rows, nothing):
 def test_shard_round_trip(bits):
     rng = np.random.default_rng(4)
     ids = [rng.integers(0, 1 << 17, n).astype("<u4") for n in (0, 1, 7, 1000, 3)]
-    shard = token_planes.Shard(token_planes.write_shard([5, None, 7, 8, 9], [x.tobytes() for x in ids], bits, chunk_ids=64))
+    shard = token_planes.Shard(token_planes.write_shard([5, None, 7, 8, 9], np.concatenate(ids), [len(x) for x in ids], bits, chunk_ids=64))
     back = list(shard.documents())
     assert [d for d, _, _ in back] == [5, None, 7, 8, 9] and all((a == b[2]).all() for a, b in zip(ids, back))
     assert (shard.ids(3, 900) == np.concatenate(ids)[3:900]).all()
