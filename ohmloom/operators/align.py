@@ -76,12 +76,63 @@ def to_long(df: DataFrame, values: Sequence[str], ts: str = "ts", entity: str |
     return long.withColumn("entity_id", F.lit(entity)) if entity is not None else long
 
 
-def roll_by_count(long: DataFrame, size: int = SIZE, ts: str = "ts", by: Sequence[str] = ("entity_id", "sensor")) -> DataFrame:
-    """Windows of ``size`` rows counted from the end of each series; a short head is dropped.  block counts from the end."""
+def inner(left: DataFrame, right: DataFrame, key: str = "ts") -> DataFrame:
+    """Rows of both sides at the same instant."""
+    return left.join(right, key)
+
+
+def roll_by_count(long: DataFrame, size: int = SIZE, ts: str = "ts", by: Sequence[str] = ("entity_id", "sensor"), stride: int | None = None) -> DataFrame:
+    """Windows of ``size`` rows counted from the end of each series, one every ``stride`` rows (else side by side); short
+    ones at the head are dropped.  block counts from the end, window_end is the time of a window's last row."""
+    stride = stride or size
     last = Window.partitionBy(*by).orderBy(F.desc(ts))
-    numbered = long.withColumn("block", F.floor((F.row_number().over(last) - 1) / size).cast("long"))
+    place = F.row_number().over(last) - 1
+    numbered = long.withColumn("__at", place)
+    if stride == size:
+        numbered = numbered.withColumn("block", F.floor(F.col("__at") / size).cast("long"))
+    else:
+        # the windows that begin (seen from the end) at most size - 1 rows before a row
+        first = F.greatest(F.lit(0), F.ceil((F.col("__at") - (size - 1)) / stride)).cast("long")
+        upto = F.floor(F.col("__at") / stride).cast("long")
+        numbered = numbered.withColumn("block", F.explode(F.when(upto >= first, F.sequence(first, upto)).otherwise(F.array().cast("array<long>"))))
     whole = Window.partitionBy(*by, "block")
-    return numbered.withColumns({"__n": F.count("*").over(whole), "window_end": F.max(ts).over(whole)}).where(F.col("__n") == size).drop("__n")
+    return numbered.withColumns({"__n": F.count("*").over(whole), "window_end": F.max(ts).over(whole)}).where(F.col("__n") == size).drop("__n", "__at")
+
+
+def drop_last(df: DataFrame, n: int, ts: str = "ts") -> DataFrame:
+    """All rows but the last ``n`` in time: the instant of the n-th last is found by a top-n, not by numbering all rows."""
+    ends = df.select(ts).orderBy(F.desc(ts)).limit(n).agg(F.min(ts).alias("__from"), F.count("*").alias("__n"))
+    return df.join(F.broadcast(ends)).where((F.col(ts) < F.col("__from")) & (F.col("__n") == n)).drop("__from", "__n") if n else df  # one row
+
+
+def repair(df: DataFrame) -> DataFrame:
+    """Text columns that hold numbers only become long, or double; others stay."""
+    text = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+    if not text:
+        return df
+    able = df.agg(*[F.coalesce(F.bool_and(F.col(f"`{c}`").try_cast(t).isNotNull() | F.col(f"`{c}`").isNull()), F.lit(False)).alias(f"{i}{t}") for i, c in enumerate(text) for t in ("long", "double")]).first()
+    kinds = {c: "long" if able[f"{i}long"] else "double" for i, c in enumerate(text) if able[f"{i}double"]}
+    return df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in kinds.items()}) if kinds else df
+
+
+def complement(df: DataFrame, known: Sequence[str]) -> list[str]:
+    """The columns of a table that are not among ``known``, in their order."""
+    return [c for c in df.columns if c not in set(known)]
+
+
+def with_residual(df: DataFrame, vector: str = "x", residual: str = "residual") -> DataFrame:
+    """The vector with the residual as its last component."""
+    return df.withColumn(vector, F.array_append(vector, F.col(residual)))
+
+
+def row_error(x: Column, estimate: Column) -> Column:
+    """Mean squared difference of two vectors."""
+    return F.aggregate(F.zip_with(x, estimate, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / F.size(x)
+
+
+def final_matrix(behaviour: DataFrame, context: DataFrame, log: DataFrame, key: str = "window_id") -> DataFrame:
+    """Behaviour joined with its context by window, incomplete rows dropped, labelled by the log."""
+    return label(drop_incomplete(behaviour.join(context, key)), log, key)
 
 
 def roll_by_time(long: DataFrame, size: str = "15 minutes", slide: str | None = None, ts: str = "ts") -> DataFrame:

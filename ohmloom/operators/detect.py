@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.io import cut
 from .factor import _matrix
+from .ranks import running
 
 BINS = 10
+BLOCK_ROWS = 4096
+TRAIN_ROWS = 20_000
 SEED = 42
 
 
@@ -28,9 +32,7 @@ def hbos(rows: DataFrame, bins: int = BINS, alpha: float = 0.1, key: str = "id")
 def _tails(rows: DataFrame, key: str) -> DataFrame:
     """-ln of both empirical tails of each value, and the feature's skewness.  Distinct values are ranked, not rows."""
     counts = rows.groupBy("feature", "value").agg(F.count("*").alias("c"))
-    up = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    ranked = counts.withColumns({"below": F.sum("c").over(up), "n": F.sum("c").over(whole)})
+    ranked = running(counts, ["feature"], "value", "c", "below", "n")
     tails = ranked.select("feature", "value", (-F.ln(F.col("below") / F.col("n"))).alias("l"), (-F.ln((F.col("n") - F.col("below") + F.col("c")) / F.col("n"))).alias("r"))
     skews = rows.groupBy("feature").agg(F.coalesce(F.skewness("value"), F.lit(0.0)).alias("skew"))
     return rows.join(tails, ["feature", "value"]).join(skews, "feature")
@@ -51,7 +53,8 @@ def copod(rows: DataFrame, key: str = "id") -> DataFrame:
 def neighbours(vectors: DataFrame, k: int = 20, key: str = "id", blocks: int | None = None) -> DataFrame:
     """id, neighbour, dist, place: the k nearest of every row.  Blocks of rows meet blocks of rows, each meeting keeps k
     candidates a row; ties go to the smaller id."""
-    n = blocks or max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    # blocks of at most BLOCK_ROWS rows: what a meeting holds does not grow with the table
+    n = blocks or max(1, -(-vectors.count() // BLOCK_ROWS))
     dealt = vectors.select(F.col(key).alias("id"), "x", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asks = dealt.select("id", "x", F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("asks"))
@@ -64,12 +67,17 @@ def neighbours(vectors: DataFrame, k: int = 20, key: str = "id", blocks: int | N
         d, di = d[order], di[order]
         out = []
         for i in range(0, len(q) if len(d) else 0, 512):
-            gap = np.sqrt(np.maximum(0, ((q[i : i + 512, None, :] - d[None]) ** 2).sum(2)))
+            # expanded squares choose, with room for what cancels, and the chosen are measured anew
+            part = q[i : i + 512]
+            gap = np.sqrt(np.maximum(0, (part * part).sum(1)[:, None] - 2 * part @ d.T + (d * d).sum(1)))
             gap[qi[i : i + 512, None] == di[None]] = np.inf
-            near = np.argsort(gap, 1, kind="stable")[:, :k]
-            for row, some in enumerate(near):
-                some = some[np.isfinite(gap[row, some])]
-                out.append((np.full(len(some), qi[i + row]), di[some], gap[row, some]))
+            more = min(2 * k, gap.shape[1])
+            for row in range(len(gap)):
+                limit = np.partition(gap[row], more - 1)[more - 1]
+                some = np.flatnonzero((gap[row] <= limit) & np.isfinite(gap[row]))
+                dist = np.sqrt(((part[row] - d[some]) ** 2).sum(1))
+                order = np.argsort(dist, kind="stable")[:k]
+                out.append((np.full(len(order), qi[i + row]), di[some[order]], dist[order]))
         cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
         return pa.table({"id": pa.array(cols[0].astype(np.int64)), "neighbour": pa.array(cols[1].astype(np.int64)), "dist": pa.array(cols[2].astype(float))})
 
@@ -79,7 +87,7 @@ def neighbours(vectors: DataFrame, k: int = 20, key: str = "id", blocks: int | N
 
 
 def lof(vectors: DataFrame, k: int = 20, key: str = "id") -> DataFrame:
-    near = neighbours(vectors, k, key).persist()
+    near = cut(neighbours(vectors, k, key), "neighbours")
     reach = near.groupBy("id").agg(F.max("dist").alias("kdist"))
     dense = near.join(reach.withColumnRenamed("id", "neighbour"), "neighbour").groupBy("id").agg((1 / (F.avg(F.greatest("dist", "kdist")) + 1e-10)).alias("lrd"))
     others = dense.select(F.col("id").alias("neighbour"), F.col("lrd").alias("lrd_n"))
@@ -144,6 +152,16 @@ class Network:
         self.w = [rng.normal(0, np.sqrt(2 / (a + b)), (a, b)) for a, b in zip(sizes[:-1], sizes[1:])]
         self.b = [np.zeros(b) for b in sizes[1:]]
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in (*self.w, *self.b)])
+
+    def load(self, flat: np.ndarray) -> "Network":
+        at = 0
+        for p in (*self.w, *self.b):
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+        return self
+
     def run(self, x: np.ndarray, noise: bool = False):
         acts, middle, extra = [x], len(self.w) // 2 - 1, None
         for i, (w, b) in enumerate(zip(self.w, self.b)):
@@ -185,40 +203,61 @@ class Network:
         return np.sqrt(((self.run(x)[0][-1] - x) ** 2).sum(1))
 
 
-def auto_encoder(vectors: DataFrame, hidden: tuple[int, ...] = (128, 64, 32, 64, 128), latent: int = 0, epochs: int = 30, batch: int = 64, most: int = 20_000, key: str = "id", seed: int = SEED) -> DataFrame:
-    """Reconstruction error.  Trained on at most ``most`` rows of the least seeded hashes, scored on all."""
-    rows = vectors.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).limit(most).select("x").collect()
-    if not rows:
-        return vectors.select(key, F.lit(0.0).alias("score"))
-    x = np.array([r[0] for r in rows], float)
-    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-    net = Network([x.shape[1], *hidden, x.shape[1]], latent, seed).fit((x - mean) / scale, epochs, batch)
+def auto_encoder(vectors: DataFrame, hidden: tuple[int, ...] = (128, 64, 32, 64, 128), epochs: int = 30, batch: int = 64, key: str = "id", seed: int = SEED) -> DataFrame:
+    """Reconstruction error of every row by a network trained on all rows."""
+    return _reconstruction(vectors, lambda d: Network([d, *hidden, d], 0, seed), epochs, batch, key)
 
-    def work(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.error((_matrix(b.column(1)) - mean) / scale) if b.num_rows else np.zeros(0))], [key, "score"])
 
-    return vectors.select(key, "x").mapInArrow(work, f"{key} {dict(vectors.dtypes)[key]}, score double")
+def variational(vectors: DataFrame, encoder: tuple[int, ...] = (128, 64, 32), decoder: tuple[int, ...] = (32, 64, 128), latent: int = 2, epochs: int = 30, batch: int = 64, key: str = "id", seed: int = SEED) -> DataFrame:
+    """The same by a variational auto-encoder."""
+
+    def make(d: int) -> Network:
+        net, rest = Network([d, *encoder, 2 * latent], latent, seed), Network([latent, *decoder, d], 0, seed + 1)
+        net.w, net.b = net.w + rest.w, net.b + rest.b
+        return net
+
+    return _reconstruction(vectors, make, epochs, batch, key)
+
+
+def _scale(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and deviation of each component over all rows (a deviation of 0 is 1), and the number of rows."""
+    got = vectors.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("*").alias("n")).orderBy("i").collect()
+    return np.array([r.m for r in got]), np.array([r.s or 1.0 for r in got]), got[0].n if got else 0
+
+
+def _round(weights: np.ndarray, make, mean: np.ndarray, scale: np.ndarray, epochs: int, batch: int, done: int):
+    """Trains one part from ``weights``: index and value of its weights times its rows, and last its rows."""
+
+    def train(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        own = make(len(mean)).load(weights)
+        own.rng = np.random.default_rng([SEED, done, group.column("part")[0].as_py()])
+        x = (_matrix(group.column("x").combine_chunks()) - mean) / scale
+        own.fit(x, epochs, batch)
+        flat = np.append(own.flat() * len(x), len(x))
+        return pa.table({"i": pa.array(range(len(flat)), pa.int32()), "v": pa.array(flat)})
 
+    return train
 
-def variational(vectors: DataFrame, encoder: tuple[int, ...] = (128, 64, 32), decoder: tuple[int, ...] = (32, 64, 128), latent: int = 2, **how) -> DataFrame:
-    net_sizes = (*encoder, 2 * latent)
-    return _variational(vectors, net_sizes, decoder, latent, **how)
 
+def _reconstruction(vectors: DataFrame, make, epochs: int, batch: int, key: str) -> DataFrame:
+    """Train on all rows and score all rows.
 
-def _variational(vectors: DataFrame, encoder: tuple[int, ...], decoder: tuple[int, ...], latent: int, epochs: int = 30, batch: int = 64, most: int = 20_000, key: str = "id", seed: int = SEED) -> DataFrame:
-    rows = vectors.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).limit(most).select("x").collect()
-    if not rows:
+    Rows are dealt to parts of about TRAIN_ROWS by their key.  One part is trained in one task, all epochs on end; several
+    parts train an epoch each from the same weights, and the weights' means, by the parts' rows, begin the next epoch: the
+    driver gets one network's weights a round, however many rows there are.
+    """
+    mean, scale, n = _scale(vectors)
+    if not n:
         return vectors.select(key, F.lit(0.0).alias("score"))
-    x = np.array([r[0] for r in rows], float)
-    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-    d = x.shape[1]
-    net = Network([d, *encoder], latent, seed)
-    rng = np.random.default_rng(seed + 1)
-    sizes = [latent, *decoder, d]
-    net.w += [rng.normal(0, np.sqrt(2 / (a + b)), (a, b)) for a, b in zip(sizes[:-1], sizes[1:])]
-    net.b += [np.zeros(b) for b in sizes[1:]]
-    net.fit((x - mean) / scale, epochs, batch)
+    parts = -(-n // TRAIN_ROWS)
+    dealt = vectors.select("x", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), F.xxhash64(key).alias("at"))
+    dealt = cut(dealt, "encoder") if parts > 1 else dealt
+    net = make(len(mean))
+    for done in range(0, epochs, epochs if parts == 1 else 1):
+        train = _round(net.flat(), make, mean, scale, epochs if parts == 1 else 1, batch, done)
+        sums = dealt.groupBy("part").applyInArrow(train, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+        net.load(np.array([r.v for r in sums[:-1]]) / sums[-1].v)
 
     def work(batches):
         for b in batches:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import running
 
 
 def roc_auc(rows: DataFrame, by: tuple[str, ...] = (), y: str = "y", score: str = "score") -> DataFrame:
     """Area under the curve by average ranks; values are counted before they are ranked.  Null with one class only."""
     counts = rows.groupBy(*by, score).agg(F.count("*").alias("c"), F.sum(F.col(y).cast("long")).alias("c1"))
-    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2)
+    ranked = running(counts, by, score, "c").withColumn("rank", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("c1")).alias("r1"), F.sum("c1").cast("double").alias("n1"), F.sum("c").cast("double").alias("n"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     return sums.select(*by, F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2, n1 * n0).alias("auc_roc"))
@@ -48,12 +48,13 @@ def lift(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def benchmark(feature_sets: dict[str, DataFrame], detectors: dict[str, Callable[[DataFrame], DataFrame]], labels: DataFrame, contamination: float, key: str = "id") -> DataFrame:
     """features, algorithm and the metrics of every detector on every feature set."""
+    from ..sources.io import cut
     from .detect import flag
 
     out = None
     for features, rows in feature_sets.items():
         for algorithm, detector in detectors.items():
-            scored = flag(detector(rows), contamination).withColumnRenamed("is_outlier", "predicted").join(labels, key)
+            scored = flag(cut(detector(rows), "scores"), contamination).withColumnRenamed("is_outlier", "predicted").join(labels, key)
             line = report(scored, algorithm).select(F.lit(features).alias("features"), F.col("model").alias("algorithm"), "auc_roc", "f1", "precision", "recall")
             out = line if out is None else out.unionByName(line)
     return out

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SEED = 42
 
@@ -58,44 +60,80 @@ def start_h(gram: np.ndarray, mean: np.ndarray, k: int) -> np.ndarray:
     return np.where(out <= 0, mean.mean() / 100 + 1e-9, out)
 
 
-def _sums(rows: DataFrame, vector: str, size: int, make) -> np.ndarray:
-    """The sum over all rows of a flat array that ``make`` derives from a matrix of rows: one partial sum a batch."""
+def _sums(rows: DataFrame, vector: str, size: int, make, context: str | None = None) -> dict:
+    """Per context (None: all rows together) the sum over its rows of a flat array that ``make(x, context)`` derives from a
+    matrix of rows: one partial sum a task and context, so the driver gets contexts * size numbers, whatever the rows."""
+    kind = rows.schema[context].dataType.simpleString() if context else "string"
 
     def work(batches):
-        total = np.zeros(size)
+        totals: dict = {}
         for batch in batches:
-            if batch.num_rows:
-                total += make(_matrix(batch.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["i", "s"])
-
-    got = rows.select(vector).mapInArrow(work, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
-    out = np.zeros(size)
+            x = _matrix(batch.column(0))
+            if context is None:
+                groups = {None: x} if len(x) else {}
+            else:
+                names = np.array(batch.column(1).to_pylist(), object)
+                groups = {c: x[[n == c for n in names]] for c in set(names.tolist())}
+            for c, part in groups.items():
+                got = make(part, c)
+                if got is not None:
+                    totals[c] = totals.get(c, 0) + got
+        for c, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * size, to_arrow_type(kind_type)), pa.array(range(size), pa.int32()), pa.array(total)], ["c", "i", "s"])
+
+    kind_type = rows.schema[context].dataType if context else T.StringType()
+    chosen = rows.select(vector, *([context] if context else []))
+    got = chosen.mapInArrow(work, f"c {kind}, i int, s double").groupBy("c", "i").agg(F.sum("s").alias("s")).collect()
+    out: dict = {}
     for r in got:
-        out[r["i"]] = r["s"]
+        out.setdefault(r["c"], np.zeros(size))[r["i"]] = r["s"]
     return out
 
 
-def fit(rows: DataFrame, k: int, vector: str = "x", rounds: int = 40, tol: float = 1e-4) -> np.ndarray:
+def _fit(rows: DataFrame, k: int, vector: str, rounds: int, tol: float, context: str | None, least: int) -> dict:
+    """A model for each context of at least ``least`` rows, all in the same passes; a context that has converged rests."""
     first = rows.select(vector).first()
     if first is None:
-        return np.zeros((k, 0))
+        return {}
     d = len(first[0])
-    stats = _sums(rows, vector, d * d + d + 1, lambda x: np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(x)]]))
-    gram, mean = stats[: d * d].reshape(d, d), stats[d * d : -1] / max(1.0, stats[-1])
-    h, last = start_h(gram, mean, k), np.inf
+    stats = _sums(rows, vector, d * d + d + 1, lambda x, c: np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(x)]]), context)
+    stats = {c: v for c, v in stats.items() if v[-1] >= least}
+    grams = {c: v[: d * d].reshape(d, d) for c, v in stats.items()}
+    models = {c: start_h(grams[c], v[d * d : -1] / v[-1], k) for c, v in stats.items()}
+    last, active = dict.fromkeys(models, np.inf), set(models)
     for _ in range(rounds):
-        def make(x, h=h):
-            w = solve_w(x, h)
+        if not active:
+            break
+        now = {c: models[c] for c in active}
+
+        def make(x, c, now=now):
+            if c not in now:
+                return None
+            w = solve_w(x, now[c])
             return np.concatenate([(w.T @ x).ravel(), (w.T @ w).ravel()])
 
-        sums = _sums(rows, vector, k * d + k * k, make)
-        wx, ww = sums[: k * d].reshape(k, d), sums[k * d :].reshape(k, k)
-        h = update_h(h, wx, ww)
-        loss = float(np.trace(gram) - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum())
-        if last - loss <= tol * max(abs(last) if np.isfinite(last) else loss, 1e-12):
-            break
-        last = loss
-    return h
+        for c, sums in _sums(rows, vector, k * d + k * k, make, context).items():
+            wx, ww = sums[: k * d].reshape(k, d), sums[k * d :].reshape(k, k)
+            h = models[c] = update_h(models[c], wx, ww)
+            loss = float(np.trace(grams[c]) - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum())
+            if last[c] - loss <= tol * max(abs(last[c]) if np.isfinite(last[c]) else loss, 1e-12):
+                active.discard(c)
+            last[c] = loss
+    return models
+
+
+def fit(rows: DataFrame, k: int, vector: str = "x", rounds: int = 500, tol: float = 1e-4) -> np.ndarray:
+    """At most ``rounds`` passes; ends when a pass takes off less than ``tol`` of the squared error."""
+    return _fit(rows, k, vector, rounds, tol, None, 1).get(None, np.zeros((k, 0)))
+
+
+def sweep(rows: DataFrame, ks: tuple[int, ...] = (3, 5, 8, 10), vector: str = "x", rounds: int = 500) -> DataFrame:
+    """k and the mean residual of a model of each size."""
+    out = None
+    for k in ks:
+        one = transform(rows.select(vector), fit(rows, k, vector, rounds), vector).agg(F.lit(k).alias("k"), F.avg("residual").alias("residual"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def transform(rows: DataFrame, h: np.ndarray, vector: str = "x") -> DataFrame:
@@ -113,10 +151,10 @@ def transform(rows: DataFrame, h: np.ndarray, vector: str = "x") -> DataFrame:
     return rows.mapInArrow(work, f"{fields}, w array<double>, residual double")
 
 
-def fit_by_context(rows: DataFrame, context: str, k: int = 5, least: int = 20, **how) -> dict[str, np.ndarray]:
-    """A model for each context of at least ``least`` rows; contexts are few, their rows are not gathered."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(context).count().collect()}
-    return {c: fit(rows.where(F.col(context).eqNullSafe(F.lit(c))), k, **how) for c, n in sizes.items() if n >= least}
+def fit_by_context(rows: DataFrame, context: str, k: int = 5, least: int = 20, vector: str = "x", rounds: int = 2000, tol: float = 1e-4) -> dict:
+    """A model for each context of at least ``least`` rows, fitted side by side; contexts are few, their rows stay where
+    they are."""
+    return {c: h for c, h in _fit(rows.where(F.col(context).isNotNull()), k, vector, rounds, tol, context, least).items()}
 
 
 def transform_by_context(rows: DataFrame, models: dict[str, np.ndarray], context: str, vector: str = "x") -> DataFrame:

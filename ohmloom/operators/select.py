@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import running
+
 ALPHA = 0.05
 
 
@@ -35,11 +37,9 @@ def normal_tail(z: Column) -> Column:
 
 
 def mann_whitney(rows: DataFrame, target: str = "y", feature: str = "feature", value: str = "value") -> DataFrame:
-    """feature, z, p: two-sided, with tie and continuity correction.  Values are counted before they are ranked, so a
-    feature's window holds its distinct values only."""
+    """feature, z, p: two-sided, with tie and continuity correction.  Values are counted before they are ranked."""
     counts = rows.groupBy(feature, value).agg(F.count("*").alias("c"), F.sum(F.col(target).cast("long")).alias("c1"))
-    before = Window.partitionBy(feature).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2)
+    ranked = running(counts, [feature], value, "c").withColumn("rank", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
     per = ranked.groupBy(feature).agg(
         F.sum("c").cast("double").alias("n"), F.sum("c1").cast("double").alias("n1"), F.sum(F.col("rank") * F.col("c1")).alias("r1"),
         F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("ties"),

@@ -10,47 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import align, detect, evaluate, factor, features, inject, select
-
-COSTLY = ("change_quantiles", "agg_linear_trend", "cwt", "index_mass", "energy_ratio", "time_reversal", "number_peaks", "kurtosis", "skewness", "fft_coefficient__attr_a", "sum_of_reocc", "percentage_of_reocc", "binned", "benford", "symmetry", "large_standard", "ratio_beyond", "autocorr")
-_Q: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    e = _table(spark, d, "events")
-    return e.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def _out(df: DataFrame, *stamps: str) -> DataFrame:
-    """Instants as wall clock, so that engines with and without zones agree."""
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps})
-
-
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = _table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label", (F.col("label") == 0).cast("int").alias("y"))
-
-
-def _tall(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).select("id", "y", F.posexplode("x").alias("feature", "value")).withColumn("feature", F.col("feature").cast("string"))
-
-
-_TALL_SQL = "tall as (select vec_id as id, cast(label = 0 as int) as y, cast(unnest(range(len(embedding))) as varchar) as feature, cast(unnest(embedding) as double) as value from embeddings)"
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _Q[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+from ..operators import align, detect, evaluate, factor, features, select
+from ..sources.io import cut
+from . import feature_queries, injection_queries, registry, table_queries  # noqa: F401
+from .registry import TALL_SQL as _TALL_SQL
+from .registry import events as _events
+from .registry import out as _out
+from .registry import query as _query
+from .registry import table as _table
+from .registry import tall as _tall
+from .registry import vectors as _vectors
 
 
 @_query("select time_bucket(interval '15 minutes', ts) as window_id, event_type, round(avg(value), 6) as mean_value, max(value) as max_value from events group by all")
@@ -66,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""select user_id, event_type, count(*) as length, round(sum(value), 5) as sum_values, round(avg(value), 6) as mean, round(median(value), 6) as median, round(stddev_pop(value), 6) as standard_deviation,
 round(var_pop(value), 3) as variance, round(sqrt(avg(value * value)), 6) as root_mean_square, max(value) as maximum, max(abs(value)) as absolute_maximum, min(value) as minimum from events group by all""")
 def minimal_features(spark, d):
-    f = features.extract(_events(spark, d), ["user_id", "event_type"], minimal=True)
+    f = features.minimal(_events(spark, d), ["user_id", "event_type"])
     digits = {"sum_values": 5, "variance": 3}
     rounded = [F.round(c, digits.get(c, 6)).alias(c) for c in ("sum_values", "mean", "median", "standard_deviation", "variance", "root_mean_square")]
     return f.select("user_id", "event_type", F.col("length").cast("long").alias("length"), *rounded, "maximum", "absolute_maximum", "minimum")
@@ -87,12 +56,9 @@ def change_features(spark, d):
 
 @_query()
 def efficient_features(spark, d):
-    """The cheap expression calculators, over 8-hour windows of each sensor; families that sort inside a lambda are left to
-    explicit calls."""
+    """All calculators of the efficient set over 8-hour windows of each sensor: expressions and Arrow families."""
     rows = _events(spark, d).withColumn("window_id", F.window("ts", "8 hours").start)
-    names = [n for n in features.efficient() if not n.startswith(COSTLY)]
-    f = features.extract(rows, ["event_type", "window_id"], names)
-    return features.tall(_out(f, "window_id"), ["event_type", "window_id"])
+    return _out(features.extract_tall(rows, ["event_type", "window_id"]), "window_id")
 
 
 @_query()
@@ -265,12 +231,12 @@ def isolation_forest(spark, d):
 
 @_query()
 def auto_encoder(spark, d):
-    return detect.auto_encoder(_vectors(spark, d), epochs=5)
+    return detect.auto_encoder(_vectors(spark, d))
 
 
 @_query()
 def variational_encoder(spark, d):
-    return detect.variational(_vectors(spark, d), epochs=5)
+    return detect.variational(_vectors(spark, d))
 
 
 def _scaled(spark, d) -> DataFrame:
@@ -282,18 +248,36 @@ def _scaled(spark, d) -> DataFrame:
 @_query()
 def nmf_global(spark, d):
     rows = _scaled(spark, d)
-    h = factor.fit(rows, 5, rounds=10)
-    return factor.components(factor.transform(rows.select("id", "x"), h), 5, "id")
+    return factor.components(factor.transform(rows.select("id", "x"), factor.fit(rows, 5, rounds=2000)), 5, "id")
+
+
+@_query()
+def nmf_sweep(spark, d):
+    return factor.sweep(_scaled(spark, d))
+
+
+def _residuals(rows):
+    """Every row's residual by one model of all, and by the model of its context (0 without one)."""
+    whole = factor.transform(rows, factor.fit(rows, 5, rounds=2000)).drop("w").withColumnRenamed("residual", "global")
+    models = factor.fit_by_context(rows, "regime", 5)
+    return cut(factor.transform_by_context(whole, models, "regime").withColumnRenamed("residual", "context"), "residuals")
 
 
 @_query()
 def nmf_residual_report(spark, d):
     """Global residuals against context residuals: threshold at the 95th percentile of normal rows."""
-    rows = _scaled(spark, d)
-    whole = factor.transform(rows.select("id", "y", "x"), factor.fit(rows, 5, rounds=10)).select("y", F.col("residual").alias("score"))
-    models = factor.fit_by_context(rows, "regime", 5, rounds=2)
-    context = factor.transform_by_context(rows, models, "regime").select("y", F.col("residual").alias("score"))
-    return evaluate.report(evaluate.threshold(whole), "global").unionByName(evaluate.report(evaluate.threshold(context), "context"))
+    rows = _residuals(_scaled(spark, d))
+    lines = [evaluate.report(evaluate.threshold(rows.select("y", F.col(c).alias("score"))), c) for c in ("global", "context")]
+    return lines[0].unionByName(lines[1])
+
+
+def _feature_sets(spark, d):
+    """The scaled features alone, and with either residual as one more column."""
+    rows = _residuals(_scaled(spark, d))
+    sets = {"Behavior only": rows}
+    for name in ("global", "context"):
+        sets[f"Behavior + {name} residual"] = align.with_residual(rows, residual=name)
+    return {n: cut(r.select("id", "x"), "features") for n, r in sets.items()}, rows.select("id", "y")
 
 
 _SCORE_SQL = "with s as (select cast(event_type = 'error' as int) as y, user_id, value as score from events)"
@@ -312,11 +296,23 @@ def threshold_metrics(spark, d):
     return m.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+def _as_tall(rows):
+    return rows.select("id", F.posexplode("x").alias("feature", "value")).withColumn("feature", F.col("feature").cast("string"))
+
+
+@_query()
+def detector_grid(spark, d):
+    """Five detectors on three sets of features."""
+    sets, labels = _feature_sets(spark, d)
+    known = {"IForest": detect.isolation_forest, "COPOD": lambda r: detect.copod(_as_tall(r)), "ECOD": lambda r: detect.ecod(_as_tall(r)), "HBOS": lambda r: detect.hbos(_as_tall(r)), "LOF": detect.lof}
+    return evaluate.benchmark(sets, known, labels, 0.1)
+
+
 @_query()
-def detector_benchmark(spark, d):
-    tall, labels = _tall(spark, d).select("id", "feature", "value"), _vectors(spark, d).select("id", "y")
-    known = {"HBOS": detect.hbos, "ECOD": detect.ecod, "COPOD": detect.copod}
-    return evaluate.benchmark({"Behavior only": tall, "Behavior scaled": select.min_max(tall)}, known, labels, 0.1)
+def deep_detector_grid(spark, d):
+    """Both auto-encoders on three sets of features."""
+    sets, labels = _feature_sets(spark, d)
+    return evaluate.benchmark(sets, {"AutoEncoder": detect.auto_encoder, "VAE": detect.variational}, labels, 0.1)
 
 
 @_query("select event_type, round(avg(value) filter (where user_id % 2 = 0), 6) as even, round(avg(value) filter (where user_id % 2 = 1), 6) as odd from events group by event_type")
@@ -330,32 +326,9 @@ def anomaly_rate(spark, d):
     return evaluate.anomaly_rate(_events(spark, d).select((F.col("value") > 450).cast("int").alias("y"))).select(F.round("anomaly_rate", 6).alias("anomaly_rate"))
 
 
-def minutes(spark: SparkSession, d: str) -> DataFrame:
-    """A gap-free minute table of eleven channels and weather made from the events' means."""
-    per = _events(spark, d).groupBy(F.date_trunc("minute", "ts").alias("ts")).agg(F.avg("value").alias("reading"))
-    ends = per.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    full = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 minute"))).alias("ts")).join(per, "ts", "left")
-    full = align.fill(full, ["reading"], backward=True)
-    names = ("V", "I", "P", "Q", "S", "FRE", "HPE", "DWE", "CWE", "WOE", "B1E")
-    hot = {"wx_Clear": (F.hour("ts") % 3 == 0).cast("int"), "wx_Rain": (F.hour("ts") % 3 == 1).cast("int"), "Temp (C)": 10 + 10 * F.sin(F.hour("ts") / 4)}
-    return full.withColumns({n: F.col("reading") * (1 + 0.1 * i) for i, n in enumerate(names)} | hot).drop("reading")
-
-
-@_query()
-def injected_log(spark, d):
-    _, log = inject.run(minutes(spark, d))
-    return _out(log, "window_id")
-
-
-@_query()
-def injected_rows(spark, d):
-    changed, _ = inject.run(minutes(spark, d), inject.first_pack())
-    return _out(changed.groupBy(align.bucket("ts").alias("window_id")).agg(F.avg("P").alias("P"), F.avg("HPE").alias("HPE")), "window_id")
-
-
 def queries() -> dict:
-    return dict(_Q)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)

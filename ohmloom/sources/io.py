@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +34,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, first: str | None = None, single: bool = True) -> None:
-    """CSV with a header; ``first`` names the column that leads; one file unless ``single`` is off."""
+def write_csv(df: DataFrame, path: str, first: str | None = None, single: bool = False) -> None:
+    """CSV with a header; ``first`` names the column that leads; ``single`` puts all rows through one task into one file."""
     if first:
         df = df.select(first, *[c for c in df.columns if c != first])
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
@@ -76,17 +78,24 @@ def materialize(spark: SparkSession, root: str, name: str, config: dict, compute
     return spark.read.parquet(path)
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows as a written table in the folder that executors share (``spark.checkpoint.dir``): what reads them several
-    times does not compute them several times, and a lost executor loses nothing."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate rows in the folder that executors share (``spark.checkpoint.dir``), removed when the
+    session ends.  Where the setting is missing, a session on one machine gets a folder of its own; others are told."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = tempfile.mkdtemp(prefix="ohmloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='ohmloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/ohmloom-{name}-{uuid.uuid4().hex}"
+    home = f"{root.rstrip('/')}/ohmloom-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(home)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """The rows as a written table in the shared folder: what reads them several times does not compute them several times,
+    and a lost executor loses nothing."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
