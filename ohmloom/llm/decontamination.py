@@ -1,46 +1,44 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark, one scan of each text.
 
-A text is normalised in one pass (A-Z lower-cased, every separator a blank) and its words are joined by single blanks.
-The automaton holds every window of 13 consecutive item words (a shorter item is one window), blanks at both ends, so
-a match is a match of whole words; its end gives the word number, and word numbers give back byte spans of the original.
+A text is normalised to its words (A-Z lower-cased, cut at every separator).  The automaton reads numbers of the
+benchmark's words, two letters each, so it has at most 26 nodes a window however long the words are; a word that no item
+has breaks every match.  It holds every window of 13 consecutive item words (a shorter item is one window); a match's end
+is a word's number, and word numbers give back byte spans of the original.
 
-The automaton is broadcast, so its size is bounded: items are packed into blocks of at most ``block_bytes`` of
-normalised text, one automaton and one scan for each block.  One block (any usual benchmark) needs no shuffle at all;
-more blocks send only hit texts' spans through a shuffle.
+Every Python worker holds an automaton, so its size is bounded: items are packed into blocks of at most ``block_nodes``
+nodes (about 40 bytes each), one automaton and one scan for each block.  One block (any usual benchmark) needs no shuffle
+at all; more blocks send only hit texts' spans through a shuffle.
 
 Defined results: a null or wordless text has no words, no hits and the digest of the empty string; a null or wordless
 item has no window; items of equal text are all counted; repeated rows give repeated rows; an item_id of null is
-ignored; other columns of ``documents`` are carried through by ``scan(..., keep=...)`` only when asked for.
+ignored; other columns of ``documents`` are carried through by ``scan(..., keep=...)`` only when asked for, and may have
+any names but those of the results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, as_bytes, materialise, table, words_of
+from .common import as_bytes, materialise, table, words_of
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_NODES = 4_000_000
 
 
-def item_windows(words: list[bytes], window: int = WINDOW) -> set[bytes]:
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
-
-
-def blocks_of(items: Iterator[tuple[str, bytes]], window: int, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items packed so that the windows of a block are about ``block_bytes`` of patterns at most."""
+def blocks_of(items: Iterator[tuple[str, bytes]], window: int, block_nodes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items packed so that the automaton of a block has about ``block_nodes`` nodes at most (a larger item: a block)."""
     block, held = [], 0
     for item, text in items:
-        cost = len(text) * min(window, 1 + len(text) // 8)
-        if block and held + cost > block_bytes:
+        n = len(words_of(text))
+        cost = 2 * min(n, window) * max(1, n - window + 1)
+        if block and held + cost > block_nodes:
             yield block
             block, held = [], 0
         block.append((item, text))
@@ -49,20 +47,30 @@ def blocks_of(items: Iterator[tuple[str, bytes]], window: int, block_bytes: int)
         yield block
 
 
+#: Two letters that no word of an item has.
+_UNKNOWN = "\ufffe\ufffe"
+
+
 class Scanner:
     """The automaton over a block of items, built once for each process that uses it."""
 
     def __init__(self, block: list[tuple[str, bytes]], window: int = WINDOW):
         import ahocorasick
 
-        owners: dict[bytes, tuple[int, list[str]]] = {}
+        # first letters and second letters differ, so that a match cannot begin inside a word
+        self.codes: dict[bytes, str] = {}
+        owners: dict[str, tuple[int, list[str]]] = {}
         for item, text in block:
             words = words_of(text)
-            for pattern in item_windows(words, window):
-                owners.setdefault(pattern, (min(window, len(words)), []))[1].append(item)
+            for w in words:
+                if w not in self.codes:
+                    self.codes[w] = chr(256 + len(self.codes) // 256) + chr(len(self.codes) % 256)
+            line, k = "".join(map(self.codes.__getitem__, words)), min(window, len(words))
+            for pattern in {line[2 * i : 2 * (i + k)] for i in range(len(words) - k + 1)} if words else ():
+                owners.setdefault(pattern, (k, []))[1].append(item)
         self.automaton = ahocorasick.Automaton()
         for pattern, value in owners.items():
-            self.automaton.add_word(f" {pattern.decode('latin-1')} ", value)
+            self.automaton.add_word(pattern, value)
         self.empty = not owners
         if owners:
             self.automaton.make_automaton()
@@ -72,45 +80,30 @@ class Scanner:
         words = words_of(text)
         if self.empty or not words:
             return len(words), [], set()
-        line = b" " + b" ".join(words) + b" "
         runs: list[tuple[int, int]] = []
         items: set[str] = set()
-        at = count = 0
-        for end, (n, owners) in self.automaton.iter(line.decode("latin-1")):
-            count += line.count(b" ", at, end)  # blanks before this one: words that end here
-            at = end
+        for end, (n, owners) in self.automaton.iter("".join(map(self.codes.get, words, itertools.repeat(_UNKNOWN)))):
             items.update(owners)
             # matches come by their end; at one end the longest comes first, so only the last run can grow to the left
-            start = count - n
+            upto = end // 2 + 1
+            start = upto - n
             while runs and runs[-1][1] >= start:
                 start = min(start, runs.pop()[0])
-            runs.append((start, count))
+            runs.append((start, upto))
         return len(words), runs, items
 
 
-_WORD_BYTES = frozenset(c for c in range(256) if WORD_TABLE[c] != 32)
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word runs as [from, to) byte offsets of the original text."""
-    import re
-
     if not runs:
         return []
-    spans = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    spans = [m.span() for m in _WORD.finditer(text)]
     return [(spans[a][0], spans[b - 1][1]) for a, b in runs]
 
 
-def merge_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 _scanners: dict[bytes, Scanner] = {}
 
 
@@ -121,7 +114,7 @@ def _scanner(key: bytes, block: list[tuple[str, bytes]], window: int) -> Scanner
     return _scanners[key]
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_nodes: int = BLOCK_NODES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of ``documents``: the ``keep`` columns, n_words, n_hit, item_ids (sorted), byte_starts, byte_ends.
 
     The benchmark is streamed to the driver block by block (its rows, never the corpus).
@@ -133,7 +126,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         .distinct()
         .toLocalIterator()
     )
-    blocks = blocks_of(items, window, block_bytes) if window else iter(())
+    blocks = blocks_of(items, window, block_nodes) if window else iter(())
     block, second = next(blocks, None), next(blocks, None)
     if block is None:
         return _no_items(documents, keep)
@@ -142,14 +135,14 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return _many_blocks(documents, itertools.chain([block, second], blocks), window, keep)
 
 
-_COUNT = "aggregate(runs, 0L, (n, r) -> n + r.b - r.a)"
+_COUNT = "aggregate(__runs, 0L, (n, r) -> n + r.b - r.a)"
 
 
 def _scan_block(documents: DataFrame, block: list[tuple[str, bytes]], window: int, keep: tuple[str, ...]) -> DataFrame:
     """The ``keep`` columns, n_words, runs, item_ids, byte_starts, byte_ends by the automaton of one block."""
     schema = documents.select(*keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    out_schema = f"{fields}, n_words long, runs array<struct<a:int,b:int>>, item_ids array<string>, byte_starts array<long>, byte_ends array<long>"
+    out_schema = f"{fields}, n_words long, __runs array<struct<a:int,b:int>>, item_ids array<string>, byte_starts array<long>, byte_ends array<long>"
     run_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     shared = documents.sparkSession.sparkContext.broadcast(block)
     key = hashlib.sha256(repr((window, sorted(block))).encode()).digest()
@@ -170,7 +163,7 @@ def _scan_block(documents: DataFrame, block: list[tuple[str, bytes]], window: in
                 pa.array(n_words, pa.int64()), pa.array(runs, run_type), pa.array(ids, pa.list_(pa.string())),
                 pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "runs", "item_ids", "byte_starts", "byte_ends"])
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "__runs", "item_ids", "byte_starts", "byte_ends"])
 
     return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(work, out_schema)
 
@@ -193,11 +186,11 @@ def _many_blocks(documents: DataFrame, blocks: Iterator[list[tuple[str, bytes]]]
     rows = materialise(documents.select(*columns, F.monotonically_increasing_id().alias("__row")), "decontamination-rows")
     one = None
     for block in blocks:
-        hits = _scan_block(rows, block, window, ("__row",)).where("size(runs) > 0").drop("n_words")
+        hits = _scan_block(rows, block, window, ("__row",)).where("size(__runs) > 0").drop("n_words")
         one = hits if one is None else one.union(hits)
     grouped = materialise(one, "decontamination").groupBy("__row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
+        F.array_sort(F.flatten(F.collect_list("__runs"))).alias("__runs"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("byte_starts").alias("a"), F.col("byte_ends").alias("b"))))).alias("spans"),
     )
     merged = (
@@ -206,7 +199,7 @@ def _many_blocks(documents: DataFrame, blocks: Iterator[list[tuple[str, bytes]]]
         "concat(slice(m, 1, size(m) - 1), array(named_struct('a', element_at(m, -1).a, 'b', greatest(element_at(m, -1).b, r.b)))), "
         "concat(m, array(named_struct('a', r.a, 'b', r.b))))), x -> true)"
     )
-    found = grouped.withColumn("runs", F.expr(merged.format("runs", "int"))).withColumn("spans", F.expr(merged.format("spans", "bigint"))).selectExpr(
+    found = grouped.withColumn("__runs", F.expr(merged.format("__runs", "int"))).withColumn("spans", F.expr(merged.format("spans", "bigint"))).selectExpr(
         "__row", f"{_COUNT} as hit", "item_ids as ids", "transform(spans, s -> s.a) as los", "transform(spans, s -> s.b) as his",
     )
     counted = _no_items(rows, (*keep, "__row")).select(*keep, "__row", "n_words")
