@@ -7,6 +7,10 @@ first occurrences are counted by key with a partial count in every partition bef
 ``min_docs`` documents lose their lines: their occurrences become, per document, a compressed keep bitmap (run lengths,
 kept and dropped in turn), never text.  ``apply_bitmaps`` cuts texts by these bitmaps.
 
+Lines are exploded and hashed once, into a written table of keys.  Of n lines at most ``HOT_KEYS`` keys can have n / HOT_KEYS
+documents or more: these are broadcast, however large the input, and the lines of all other keys, none of which fills a
+task, meet their keys by a shuffle.
+
 Defined results: a null or empty text is one empty line; a key of under ``min_chars`` code points is never dropped;
 documents are told apart by doc_id (null is one document), rows by doc_id and text, so repeated rows give repeated,
 equal rows; a text whose lines are all dropped becomes empty.
@@ -18,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import key128, parts_for, shuffle_partitions, table
+from .common import key128, materialise, parts_for, shuffle_partitions, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
 #: Blank characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
 PART_BYTES = 8 << 20
+HOT_KEYS = 10_000
 
 _LINES = "split(coalesce(text, ''), '\\n', -1)"
 
@@ -52,6 +57,15 @@ def common_keys(lines: DataFrame, min_docs: int = MIN_DOCS, parts: int = 8) -> D
     return firsts.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
+def _meet(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """The lines whose key (h1, h2) is among ``keys``, a key of many lines in no single task."""
+    is_hot = F.col("n_docs") >= lines.count() / HOT_KEYS
+    hot = F.broadcast(keys.where(is_hot).select("h1", "h2", F.lit(True).alias("hot")))
+    marked = lines.join(hot, ["h1", "h2"], "left")
+    rest = marked.where("hot is null").join(keys.where(~is_hot).select("h1", "h2"), ["h1", "h2"])
+    return marked.where("hot").unionByName(rest).select("r1", "r2", "pos")
+
+
 #: Sorted dropped positions p to run lengths of kept and dropped lines in turn, the first may be 0.
 _RUNS = """
 concat(
@@ -65,9 +79,9 @@ _KEEP = "flatten(transform(keep_runs, (n, i) -> array_repeat(i % 2 = 0, n)))"
 def keep_bitmaps(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per row key r1, r2 of a text that loses lines: n_dropped and keep_runs array<int> (kept, dropped, kept, ...)."""
     parts = max(shuffle_partitions(documents.sparkSession), parts_for(documents, PART_BYTES))
-    lines = line_rows(documents, min_chars)
-    keys = common_keys(lines, min_docs, parts).select("h1", "h2")
-    dropped = lines.join(keys, ["h1", "h2"]).groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    lines = materialise(line_rows(documents, min_chars), "line-keys")
+    keys = materialise(common_keys(lines, min_docs, parts), "line-common")
+    dropped = _meet(lines.select("r1", "r2", "pos", "h1", "h2"), keys).groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     sizes = dropped.withColumn("starts", F.expr("filter(at, (p, i) -> i = 0 or at[i - 1] <> p - 1)")).withColumn(
         "ends", F.expr("filter(at, (p, i) -> i = size(at) - 1 or at[i + 1] <> p + 1)")
     )
