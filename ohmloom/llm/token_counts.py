@@ -2,9 +2,13 @@
 
 Totals by (source, lang, tokenizer) are additive, so a change to the corpus is a signed delta: an insert adds a
 document's counts, a delete takes them away, a revision (new text, new tokenizer version) does both.  A batch of deltas
-is summed by group, written under its batch id beside the batches before it and becomes visible by one rename; a batch
-id that is there already is not applied again, so a retried or replayed batch changes nothing.  Totals are the sum over
-batches; ``compact`` folds them into one and keeps the ids it has taken in.
+is summed by group and written in a folder of its own under its batch id; it counts from the moment Spark's committer has
+put down its success mark.  A batch id that counts already is not applied again, and of two attempts at one batch the one
+whose name comes first counts, so a retried, replayed or doubled batch changes nothing and no rename has to be atomic.
+
+Totals are the newest complete base plus the batches it does not hold.  ``compact`` writes the next base, first the ids it
+takes in, then their sums, whose success mark makes it the newest; only then is removed what it holds.  Stopped anywhere,
+the totals stay the same and the next call cleans up.
 
 Defined results: null source or lang are groups; a null text counts no tokens and no characters, but one document;
 repeated rows count as often as they stand there; groups whose documents all went are left out; no batches give no rows.
@@ -12,12 +16,14 @@ repeated rows count as often as they stand there; groups whose documents all wen
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import scratch, table
 from .tokens import default_path, encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -70,76 +76,92 @@ def _summed(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
 
 
+_KINDS = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
+
+
 class TokenRollup:
     """The batches under ``path``, a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._place = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._place.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._place)
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _names(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._place) if s.getPath().getName().startswith(("batch=", "base=")))
+    def _names(self, folder: str = "") -> list[str]:
+        place = self._at(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(place)) if self._fs.exists(place) else []
+
+    def _complete(self, folder: str, part: str = "") -> str | None:
+        """The first attempt in a folder whose writing was finished."""
+        return next((f"{folder}/{a}" for a in self._names(folder) if self._fs.exists(self._at(f"{folder}/{a}/{part}_SUCCESS"))), None)
 
-    def batches(self) -> set[str]:
-        """Ids of all batches that the totals hold."""
-        names = self._names()
-        known = {n.removeprefix("batch=") for n in names if n.startswith("batch=")}
-        for base in (n for n in names if n.startswith("base=")):
-            known |= {r[0] for r in self.spark.read.schema("id string").json(f"{self.path}/{base}/ids").collect()}
-        return known
+    def _base(self) -> str | None:
+        """The newest complete base."""
+        numbers = sorted((int(n.removeprefix("base=")) for n in self._names() if n.startswith("base=")), reverse=True)
+        return next((found for n in numbers if (found := self._complete(f"base={n}", "sums/"))), None)
+
+    def _among(self, base: str | None, ids: list[str]) -> set[str]:
+        """Those of ``ids`` that a base holds."""
+        if base is None or not ids:
+            return set()
+        held = self.spark.read.schema("id string").json(f"{self.path}/{base}/ids")
+        return {r[0] for r in held.where(F.col("id").isin(ids)).collect()}
+
+    def _open(self, base: str | None) -> dict[str, str]:
+        """Batches that count beside the base: as many as came since it was written."""
+        found = {n.removeprefix("batch="): self._complete(n) for n in self._names() if n.startswith("batch=")}
+        found = {i: place for i, place in found.items() if place}
+        held = self._among(base, list(found))
+        return {i: place for i, place in found.items() if i not in held}
+
+    def applied(self, batch_id: str) -> bool:
+        return bool(self._complete(f"batch={batch_id}") or self._among(self._base(), [batch_id]))
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Apply a batch once; False if it was applied before."""
         if not batch_id or any(c in batch_id for c in "/=: "):
             raise ValueError("a batch id is a plain file name")
-        if batch_id in self.batches():
+        if self.applied(batch_id):
             return False
-        waiting = f"_waiting-{batch_id}"
-        _summed(deltas).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{waiting}")
-        if not self._fs.rename(self._at(waiting), self._at(f"batch={batch_id}")):
-            raise OSError(f"batch {batch_id} could not be renamed into place")
+        _summed(deltas).coalesce(1).write.parquet(f"{self.path}/batch={batch_id}/{uuid.uuid4().hex}")  # a row a group
         return True
 
-    def _sums(self) -> DataFrame | None:
-        names = self._names()
-        if not names:
-            return None
-        paths = [f"{self.path}/{n}" if n.startswith("batch=") else f"{self.path}/{n}/sums" for n in names]
-        kinds = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
-        return _summed(self.spark.read.schema(kinds).parquet(*paths))
+    def _sums(self, base: str | None, batches: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/{p}" for p in batches.values()] + ([f"{self.path}/{base}/sums"] if base else [])
+        rows = self.spark.read.schema(_KINDS).parquet(*paths) if paths else self.spark.createDataFrame([], _KINDS)
+        return _summed(rows)
 
     def totals(self) -> DataFrame:
-        sums = self._sums()
-        if sums is None:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
-        return sums.where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
-
-    def compact(self, name: str) -> None:
-        """Fold all batches into one base; readers must not run meanwhile."""
-        old, sums = self._names(), self._sums()
-        if sums is None:
-            return
-        waiting = f"_waiting-base-{name}"
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{waiting}/sums")
-        self.spark.createDataFrame([(i,) for i in sorted(self.batches())], "id string").coalesce(1).write.mode("overwrite").json(f"{self.path}/{waiting}/ids")
-        for n in old:
-            self._fs.rename(self._at(n), self._at(f"_old-{n}"))
-        self._fs.rename(self._at(waiting), self._at(f"base={name}"))
-        for n in old:
-            self._fs.delete(self._at(f"_old-{n}"), True)
+        base = self._base()
+        return self._sums(base, self._open(base)).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
+
+    def compact(self) -> None:
+        """Fold all batches into a new base; readers that began before may have to begin anew."""
+        base = self._base()
+        batches = self._open(base)
+        if batches:
+            number = int(base.split("/")[0].removeprefix("base=")) + 1 if base else 0
+            place = f"base={number}/{uuid.uuid4().hex}"
+            ids = self.spark.createDataFrame([(i,) for i in sorted(batches)], "id string")
+            if base:
+                ids = ids.union(self.spark.read.schema("id string").json(f"{self.path}/{base}/ids"))
+            ids.write.json(f"{self.path}/{place}/ids")
+            self._sums(base, batches).coalesce(1).write.parquet(f"{self.path}/{place}/sums")
+            base = self._base()
+        still = self._open(base)
+        for n in self._names():
+            old = n.startswith("base=") and (base is None or n != base.split("/")[0])
+            done = n.startswith("batch=") and n.removeprefix("batch=") not in still and self._complete(n)
+            if (old and base) or done:
+                self._fs.delete(self._at(n), True)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in as words, are revised to BPE tokens, and the revision is replayed."""
-    import uuid
-
     documents = table(spark, sf_dir, "documents").select("source", "lang", "text")
-    rollup = TokenRollup(spark, f"{shared_dir(spark)}/ohmloom-rollup-{uuid.uuid4().hex}")
+    rollup = TokenRollup(spark, scratch(spark, "rollup"))
     rollup.commit("0001-insert", inserts(count_words(documents)))
     revision = revisions(count_words(documents), count_bpe(documents))
     rollup.commit("0002-revise", revision)
