@@ -205,7 +205,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_TEXTS) -> B
     usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & usable).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string"), "quality", "text")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # ids may repeat: again the first of all rows, so that what comes to the driver stays bounded
+    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(most).select(F.col("doc_id").cast("string"), "quality", "text")
     rows = texts.mapInArrow(_crop, "doc_id string, quality int, crops array<binary>").collect()  # EPOCHS * TRAIN_BYTES a text at most
     rows = sorted(((r["doc_id"], r["quality"], [bytes(c) for c in r["crops"]]) for r in rows))
     return ByteCNN().fit([c for _, _, c in rows], [q for _, q, _ in rows])
