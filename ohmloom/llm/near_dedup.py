@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import as_bytes, components, flat, fold64, materialise, shingle_hashes, table, word_hashes
 
 SHINGLE = 5
-SKETCHES = 20
+SKETCHES = 64
 PICKED = 2
 SIMILARITY = 0.8
-BLOCK = 256
+BLOCK = 1024
 LEAST_BITS = 1024
 SEED = 11
 
@@ -58,29 +58,35 @@ def labelled(kmers: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def order_min_hash(kmers: np.ndarray, starts: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED, seed: int = SEED) -> np.ndarray:
-    """A (texts, sketches) array of keys; every text must have a k-mer."""
+    """A (texts, sketches) array of keys; every text must have a k-mer.
+
+    A sketch orders the labelled k-mers by an odd factor of its own (they are well mixed already).  The place in the text is
+    kept in the low bits, so that one grouped minimum gives both the k-mer and where it stands.
+    """
     label = labelled(kmers, starts)
     counts, heads = np.diff(starts), starts[:-1]
-    seeds = fold64(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(seed))
+    bits = max(1, int(counts.max(initial=1) - 1).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    place = np.arange(len(label), dtype=np.uint64) - np.repeat(heads, counts).astype(np.uint64)
+    seeds = fold64(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(seed)) | np.uint64(1)
     out = np.empty((len(counts), sketches), np.uint64)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    short = counts < picked
     for s in range(sketches):
-        v = fold64(label ^ seeds[s])
+        v = label * seeds[s]
+        v &= ~low
+        v |= place
         at = np.empty((picked, len(counts)), np.int64)
-        got = np.empty((picked, len(counts)), np.uint64)
         for p in range(picked):
             least = np.minimum.reduceat(v, heads)
-            hit = np.flatnonzero(v == np.repeat(least, counts))
-            owner = np.searchsorted(starts, hit, side="right") - 1
-            keep = np.ones(len(hit), bool)
-            keep[1:] = owner[1:] != owner[:-1]
-            at[p], got[p] = hit[keep], least
+            at[p] = heads + np.minimum((least & low).astype(np.int64), counts - 1)  # all taken: any
             v[at[p]] = top
-        order = np.argsort(at, axis=0, kind="stable")
-        got = np.take_along_axis(got, order, 0)
+        # a text of fewer k-mers takes its first again
+        at[:, short] = np.where(np.arange(picked)[:, None] < counts[short], at[:, short], at[0, short])
+        at.sort(axis=0)
         key = np.full(len(counts), seeds[s])
         for p in range(picked):
-            key = fold64((key ^ got[p]) * np.uint64(0x9FB21C651E98DF25))
+            key = fold64((key ^ label[at[p]]) * np.uint64(0x9FB21C651E98DF25))
         out[:, s] = key
     return out
 
@@ -148,10 +154,27 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
         return max(n, m)
     k = min(most, max(n, m))
     if k >= n:  # too short for a band: every cell is in it
-        return _plain(a, b, most)
+        return _whole(a, b, most)
     return _in_band(a, b, k, most)
 
 
+def _whole(a: list[int], b: list[int], most: int) -> int:
+    """The same without a band: a column is one number of len(a) bits."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | (1 << i)
+    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, dist = mask, 0, len(a)
+    for y in b:
+        match = where.get(y, 0)
+        diagonal = (((match & up) + up) ^ up) | match | down
+        right, left = down | (~(diagonal | up) & mask), diagonal & up
+        dist += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & mask, left << 1 & mask
+        up, down = left | (~(diagonal | right) & mask), right & diagonal & mask
+    return min(dist, most + 1)
+
+
 def _plain(a: list[int], b: list[int], most: int) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -161,17 +184,31 @@ def _plain(a: list[int], b: list[int], most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def _bitmap(places: list[int], n: int) -> int:
+    on = np.zeros(n, np.uint8)
+    on[places] = 1
+    return int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
+
+
 def _in_band(a: list[int], b: list[int], k: int, most: int) -> int:
     n, m, width = len(a), len(b), 2 * k + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
-    where: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
+        places.setdefault(x, []).append(i)
+    # a bitmap of the whole text for the few frequent words only: the rest is put together inside the band
+    many = max(32, n // 2000)
+    where = {x: _bitmap(at, n) for x, at in places.items() if len(at) > many}
     up, down, dist = ((1 << (k + 1)) - 1) << k, 0, k
     for j in range(1, m + 1):
-        match = where.get(b[j - 1], 0)
-        shift = j - k - 1
-        match = (match >> shift if shift >= 0 else match << -shift) & mask
+        x, shift = b[j - 1], j - k - 1
+        if x in where:
+            match = (where[x] >> shift if shift >= 0 else where[x] << -shift) & mask
+        else:
+            match = 0
+            for i in places.get(x, ()):
+                if shift <= i < shift + width:
+                    match |= 1 << (i - shift)
         diagonal = ((((match & up) + up) ^ up) | match | down) & mask
         right = down | (~(diagonal | up) & mask)
         left = diagonal & up
@@ -208,7 +245,7 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             wa, wb = (as_bytes(batch.column(i)) for i in (2, 3))
-            keep = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(wa, wb)]
+            keep = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(wa, wb)]
             got = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["a", "b"])
 
@@ -290,9 +327,10 @@ def classes(documents: DataFrame) -> DataFrame:
     later = copies.where("id <> rep").select("id").distinct()
     nodes = named.where("n_words > 0").join(later, "id", "left_anti")
     # a doc_id with several texts may be a copy with one of them: its other texts are linked through their own groups
-    members = materialise(nodes.select("id", F.explode("keys").alias("key")).distinct(), "near-members")
-    counted = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    busy = materialise(members.join(counted, "key"), "near-busy")
+    members = nodes.select("id", F.explode("keys").alias("key"))
+    # most keys are known from one document only and go no further than a count
+    counted = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "n"), "near-counted")
+    busy = materialise(members.join(counted, "key").distinct(), "near-busy")
     # who meets most others over all its buckets is the likeliest centre of a group: one order of leaders for all buckets
     weighed = busy.join(busy.groupBy("id").agg(F.sum("n").alias("weight")), "id")
     leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("last"))).alias("top")).select("key", (-F.col("top.last")).alias("leader"))
@@ -331,7 +369,7 @@ def _word_table(documents: DataFrame, ids: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 words, starts = word_hashes(*flat(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([words[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary())], ["id", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split((words >> np.uint64(32)).astype(np.uint32), starts[1:-1])], pa.binary())], ["id", "words"])
 
     return documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(work, "id long, words binary")
 
