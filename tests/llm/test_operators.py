@@ -55,7 +55,7 @@ def test_decontamination(spark, docs, rows, nothing):
     assert decontamination.scan(nothing, bench).count() == 0
     assert decontamination.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    many = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontamination.scan(unique, bench, block_bytes=64).collect()}
+    many = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontamination.scan(unique, bench, block_nodes=64).collect()}
     assert many == {d: (r.n_words, r.n_hit, r.item_ids) for d, r in got.items() if d is not None}
 
 
@@ -63,8 +63,8 @@ def test_decontamination_blocks_with_null_and_repeated_ids(spark, docs, rows):
     bench = spark.createDataFrame([(i, " ".join(rows[i][1].split()[10:30])) for i in range(6)] + [(7, "no id here")], "item_id long, text string")
     plain = lambda **how: sorted(map(str, decontamination.scan(docs, bench, **how).collect()))
     whole = plain()
-    assert plain(block_bytes=64) == whole and len(whole) == len(rows)
-    assert plain(block_bytes=64, keep=("doc_id", "text", "source")) == plain(keep=("doc_id", "text", "source"))
+    assert plain(block_nodes=64) == whole and len(whole) == len(rows)
+    assert plain(block_nodes=64, keep=("doc_id", "text", "source")) == plain(keep=("doc_id", "text", "source"))
     assert any("doc_id=None" in r and "'7'" in r for r in whole)
 
 
@@ -82,10 +82,11 @@ def test_suffix_dedup(docs, rows, nothing):
         for i in range(len(b) - 49):
             if first[b[i : i + 50]] != d:
                 gone[i : i + 50] = True
-        want[d] = (int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
+        spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+        want[d] = (len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
     got = suffix_dedup.mark(docs, suffix_dedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
     assert len(got) == len(rows)
-    assert all((r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
     assert suffix_dedup.dedup_substrings(nothing).count() == 0
 
 
@@ -99,6 +100,75 @@ def test_near_dedup(docs, rows, nothing):
     assert near_dedup.classes(nothing).count() == 0
 
 
+def test_near_dedup_against_all_pairs(spark):
+    """Every pair that shares a key is aligned by a plain table; classes are the components of the alike ones."""
+    rng = random.Random(21)
+    words = [prose(rng, 1) + str(i) for i in range(800)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 90))]
+        texts.append(base)
+        for share in (0.0, 0.05, 0.1, 0.3, 0.6):
+            texts.append([rng.choice(words) if rng.random() < share else w for w in base])
+    texts += [[], ["x"], ["x"], ["y", "z"]]
+    rng.shuffle(texts)
+    n, own = len(texts), list(range(len(texts)))
+    keys = []
+    for t in texts:
+        raw = " ".join(t).encode()
+        kmers, at = near_dedup.shingle_hashes(*near_dedup.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), near_dedup.SHINGLE)
+        keys.append(set(near_dedup.order_min_hash(kmers, at)[0].tolist()) if t else set())
+    for i in range(n):
+        for j in range(i):
+            if texts[i] != texts[j] and not keys[i] & keys[j]:
+                continue
+            most = near_dedup.allowed(max(len(texts[i]), len(texts[j])))
+            if abs(len(texts[i]) - len(texts[j])) <= most and near_dedup._plain(texts[i], texts[j], most) <= most and (texts[i] or texts[i] == texts[j]):
+                a, b = own[i], own[j]
+                own = [min(a, b) if o in (a, b) else o for o in own]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert got == dict(enumerate(own))
+
+
+@pytest.mark.parametrize("length", [60, 200, 1000])
+def test_pairs_at_the_threshold_share_a_key(length):
+    """Words replaced all over: the share of pairs that meet in some sketch, by edits."""
+    rng = np.random.default_rng(length)
+    new = lambda *shape: rng.integers(0, 1 << 60, shape).astype(np.uint64)
+    n, met = 150, {}
+    for share in (0.02, 0.05, 0.1, 0.15, 0.2):
+        first = new(n, length)
+        second = first.copy()
+        for row in second:
+            row[rng.choice(length, int(share * length), False)] = new(int(share * length))
+        kmers, at = near_dedup.shingle_hashes(np.concatenate([first.ravel(), second.ravel()]), np.arange(2 * n + 1) * length, near_dedup.SHINGLE)
+        keys = near_dedup.order_min_hash(kmers, at)
+        met[share] = float((keys[:n] == keys[n:]).any(1).mean())
+    print(length, met)
+    assert met[0.2] >= 0.7 and met[0.15] >= 0.95 and min(met[s] for s in (0.02, 0.05, 0.1)) >= 0.99
+
+
+def test_order_counts():
+    """The same k-mers in another order give another key."""
+    a, b = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), None
+    b = np.concatenate([a[20:], a[:20]])
+    both = near_dedup.order_min_hash(np.concatenate([a, b]), np.array([0, 40, 80]))
+    same = float((both[0] == both[1]).mean())
+    assert 0.3 < same < 0.7
+    one = near_dedup.order_min_hash(np.array([5], np.uint64), np.array([0, 1]))
+    assert (one == near_dedup.order_min_hash(np.array([5, 9], np.uint64), np.array([0, 1, 2]))[:1]).all()
+
+
+def test_long_texts_are_aligned_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 40, 30_000).tolist()
+    b = a[:10_000] + rng.integers(0, 1 << 40, 50).tolist() + a[10_030:]
+    assert near_dedup.banded_distance(a, b, 6000) == 50
+    few = rng.integers(0, 3, 4000).tolist()
+    assert near_dedup.banded_distance(few, few[:2000] + few[2001:], 800) == 1
+
+
 def test_banded_distance():
     rng = random.Random(3)
     for _ in range(3000):
@@ -181,30 +251,108 @@ def test_mixing(docs, rows, nothing):
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got)) and mixing.mix(nothing).count() == 0
 
 
-def test_divisor_gives_the_highest_quotients():
+def highest_quotients(votes, seats):
+    best = sorted(((-v / (2 * k - 1), i) for i, v in enumerate(votes) for k in range(1, seats + 2) if v > 0))[:seats]
+    return [sum(j == i for _, j in best) for i in range(len(votes))]
+
+
+def test_apportionment_gives_the_highest_quotients(spark):
     rng = random.Random(2)
-    votes = [rng.uniform(1, 400) for _ in range(30)]
-    block = 32
-    seats = [int(v / block + 0.5) for v in votes]
-    best = sorted(((v / (2 * k - 1), i) for i, v in enumerate(votes) for k in range(1, 40)), reverse=True)[: sum(seats)]
-    assert seats == [sum(j == i for _, j in best) for i in range(30)]
+    cases = [([rng.choice([0, 1, 5, rng.randint(0, 400)]) for _ in range(rng.randint(1, 30))], rng.randint(0, 60)) for _ in range(40)]
+    cases = [(v, n if any(v) else 0) for v, n in cases] + [([7] * 10, 5), ([1000] + [1] * 20, 37), ([3], 9)]
+    rows = [(i, c, v, n) for i, (votes, n) in enumerate(cases) for c, v in enumerate(votes)]
+    got = mixing.apportion(spark.createDataFrame(rows, "node int, child int, votes long, blocks long"), ("node",), "child").collect()
+    seats = {(r.node, r.child): r.seats for r in got}
+    for i, (votes, n) in enumerate(cases):
+        assert [seats[i, c] for c in range(len(votes))] == highest_quotients(votes, n), (votes, n)
+
+
+def test_mixing_of_many_shards(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" * rng.choice([0, 1, 30, 200])), "ab"[i % 7 == 0]) for i in range(900)] + [(None, None, "c"), (5, "one two", None)]
+    docs = spark.createDataFrame([(d, t, s, 7, "x") for d, t, s in rows], "doc_id long, text string, source string, size int, shard string")
+    got = mixing.mix(docs, shard_words=64, block_words=4, fan=8)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "source", "shard", "size", "source_size", "target", "taken"])
+    got = got.collect()
+    assert len(got) == len(rows) and all(r.shard == "x" and 0 <= r.taken <= 2 * r.size for r in got)
+    targets = {r.source: r.target for r in got}
+    for s, target in targets.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - target) <= 4 + 0.02 * target
+    assert mixing.mix(docs, shard_words=64, block_words=4, fan=8, text=False).columns[:3] == ["doc_id", "source", "shard"]
 
 
-def test_token_counts(spark, docs, tmp_path):
+def own_counts(rows, tokenizer=None):
+    out = {}
+    for _, t, lang, source, *_ in rows:
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids) if tokenizer else len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        s = out.setdefault((source, lang), [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + 1, s[1] + n, s[2] + len(t or "")
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_token_counts(spark, docs, rows, tmp_path):
     rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    held = lambda: {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_chars) for r in rollup.totals().collect()}
     counts = token_counts.count_words(docs)
     assert rollup.totals().count() == 0
     assert rollup.commit("a", token_counts.inserts(counts)) and not rollup.commit("a", token_counts.inserts(counts))
-    once = sorted(map(str, rollup.totals().collect()))
+    assert held() == own_counts(rows)
     rollup.commit("b", token_counts.revisions(counts, token_counts.count_bpe(docs)))
-    rollup.compact("one")
+    assert held() == own_counts(rows, PieceEncoder(default_path()).tokenizer)
+    rollup.compact()
     assert not rollup.commit("b", counts) and {r.tokenizer for r in rollup.totals().collect()} == {"byte_bpe_50k-1"}
+    assert held() == own_counts(rows, PieceEncoder(default_path()).tokenizer)
     rollup.commit("c", token_counts.revisions(token_counts.count_bpe(docs), counts))
-    assert sorted(map(str, rollup.totals().collect())) == once
-    rollup.commit("d", token_counts.deletes(counts))
+    assert held() == own_counts(rows)
+    some = [r for r in rows if r[0] is not None and r[0] < 9]
+    rollup.commit("d", token_counts.deletes(token_counts.count_words(spark.createDataFrame(some, SCHEMA))))
+    rest = own_counts([r for r in rows if r[0] is None or r[0] >= 9])
+    assert held() == rest
+    rollup.commit("e", token_counts.deletes(counts))
+    rollup.commit("f", token_counts.inserts(token_counts.count_words(spark.createDataFrame(some, SCHEMA))))
     assert rollup.totals().count() == 0
 
 
+def test_token_counts_survive_a_stop_anywhere(spark, tmp_path, monkeypatch):
+    rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    docs = spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
+    delta = token_counts.inserts(token_counts.count_words(docs))
+    total = lambda: [r.n_tokens for r in rollup.totals().collect()]
+    names = ("one", "two", "three")
+    for n in names[:2]:
+        rollup.commit(n, delta)
+    # an attempt that was not finished, and a second one that was
+    (tmp_path / "r" / "batch=three" / "0").mkdir(parents=True)
+    assert total() == [4] and rollup.commit("three", delta)
+    delta.coalesce(1).write.parquet(f"file://{tmp_path}/r/batch=three/zz")
+    assert total() == [6]
+
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+
+    # before the new base counts
+    with monkeypatch.context() as m:
+        m.setattr(token_counts.TokenRollup, "_sums", stop)
+        with pytest.raises(Stop):
+            rollup.compact()
+    assert total() == [6] and not any(rollup.commit(n, delta) for n in names)
+    # after it counts, before anything is removed
+    with monkeypatch.context() as m:
+        real, calls = token_counts.TokenRollup._open, []
+        m.setattr(token_counts.TokenRollup, "_open", lambda self, base: real(self, base) if not calls and not calls.append(1) else stop())
+        with pytest.raises(Stop):
+            rollup.compact()
+    assert total() == [6] and not any(rollup.commit(n, delta) for n in names)
+    rollup.compact()
+    assert total() == [6] and not any(rollup.commit(n, delta) for n in names) and rollup._names() == ["base=0"]
+    rollup.commit("four", delta)
+    rollup.compact()
+    assert total() == [8] and rollup._names() == ["base=1"]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(0, 0.2, (230, 8)).astype(np.float32)
@@ -222,19 +370,109 @@ def test_topk(spark):
     assert topk.top_k(data.limit(0), data.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [100_000, 500_000_000])
+def test_topk_scores_are_exact_integers(spark, size):
+    rng = np.random.default_rng(7)
+    v = rng.integers(-size, size, (120, 64))
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<long>")
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in topk.top_k(data, data.where("id % 40 = 0"), n_pivots=6).collect()}
+    whole = v.astype(object)
+    for q in (0, 40, 80):
+        best = sorted((-int(whole[q] @ whole[j]), j) for j in range(120) if j != q)[:10]
+        assert [got[q, k + 1] for k in range(10)] == [(j, -s) for s, j in best]
+
+
+def test_topk_moves_little_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(20, 16))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    v = np.floor(1024 * (centre[np.arange(3000) % 20] + rng.normal(0, 0.01, (3000, 16)))).astype(int)
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<long>")
+    queries = data.where("id % 100 < 20")
+    cells, asked, pivots, bounds = topk._plan(data, queries, 10, 64, 2048)
+    sent = topk.needed(cells, pivots, bounds).select("needs").collect()
+    pairs = sum(sum(bin(b).count("1") for b in r.needs) for r in sent)
+    assert len(sent) <= 3000 and pairs < 0.1 * 3000 * len(bounds.groups)
+    got = {}
+    for r in topk.top_k(data, queries, group_queries=100).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.id, r.score)
+    scores = v @ v.T
+    for q in range(3000):
+        if q % 100 < 20:
+            best = sorted((-int(scores[q, j]), j) for j in range(3000) if j != q)[:10]
+            assert [got[q][k + 1] for k in range(10)] == [(j, -s) for s, j in best]
+
+
 def test_compact_windows(docs, rows, nothing):
     got = {r.doc_id: r for r in compact_windows.find_passages(docs).collect()}
     first, second = 29, 30
     assert got[second].class_id == got[first].class_id and got[second].n_dup_words >= 68
     assert got[5].n_links == 0 and got[5].n_dup_words == 0
     assert compact_windows.find_passages(nothing).count() == 0
-    text = np.array([3, 1, 2, 9, 8, 7, 1, 5] * 12, np.uint64)
-    starts = np.array([0, 40, 96])
-    c, value = compact_windows.wide_tokens(text + np.arange(96, dtype=np.uint64) * np.uint64(1000), starts, np.uint64(5), 10)
-    left, right = compact_windows.windows(c, value, starts)
-    every = compact_windows.fold64((text + np.arange(96, dtype=np.uint64) * np.uint64(1000)) ^ np.uint64(5))
-    for p, a, b in zip(c, left, right):
-        assert every[a : b + 1].min() == every[p] and b - a + 1 >= 10
+
+
+def test_compact_windows_are_all_and_widest(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(150):
+        monkeypatch.setattr(compact_windows, "STEP", rng.choice([16, 64, 1 << 15]))
+        n, span, seed = rng.randint(0, 200), rng.choice([5, 10, 46]), np.uint64(rng.randrange(1 << 63))
+        tokens = np.array([rng.randint(0, rng.choice([5, 1000000])) for _ in range(n)], np.uint64)
+        starts = np.array([0, *sorted(rng.randint(0, n) for _ in range(rng.randint(0, 4))), n])
+        c, value = compact_windows.wide_tokens(tokens, starts, seed, span)
+        every = ((tokens * (seed | np.uint64(1))) >> np.uint64(1)).view(np.int64) & ~compact_windows._POS
+        want = {i + int(np.argmin(every[i : i + span])) for a, b in zip(starts[:-1], starts[1:]) for i in range(a, b - span + 1)}
+        assert c.tolist() == sorted(want)
+        for p, l, r in zip(c, *compact_windows.windows(c, value, starts)):
+            text = np.searchsorted(starts, p, side="right") - 1
+            first, last = p, p
+            while first > starts[text] and every[first - 1] > every[p]:
+                first -= 1
+            while last + 1 < starts[text + 1] and every[last + 1] >= every[p]:
+                last += 1
+            assert (l, r) == (first, last)
+
+
+def test_interval_join_sweeps_all_groups():
+    rng = random.Random(2)
+    for _ in range(150):
+        n = rng.randint(1, 40)
+        g = np.sort([rng.randint(0, 3) for _ in range(n)])
+        l = np.array([rng.randint(0, 120) for _ in range(n)])
+        r, k = l + np.array([rng.randint(1, 90) for _ in range(n)]), np.array([rng.randint(0, 3) for _ in range(n)])
+        want = []
+        for x in range(4):
+            inside = [len({int(kk) for gg, ll, rr, kk in zip(g, l, r, k) if gg == x and ll <= p < rr}) >= 2 for p in range(220)] + [False]
+            begins = [p for p in range(220) if inside[p] and (p == 0 or not inside[p - 1])]
+            want += [(x, p, inside.index(False, p)) for p in begins if inside.index(False, p) - p >= 50]
+        assert list(zip(*(v.tolist() for v in compact_windows._overlaps(g, l, r, k)))) == want
+
+
+def test_shared_runs():
+    rng = random.Random(5)
+    for _ in range(300):
+        base = [rng.choice([1, 2, 3, 3, 3]) for _ in range(rng.randint(5, 20))]
+        p = base + [rng.choice([3, 4]) for _ in range(rng.randint(0, 20))]
+        q = [rng.choice([3, 5]) for _ in range(rng.randint(5, 20))] + base
+        same = {(i, j) for i in range(len(p) - 4) for j in range(len(q) - 4) if p[i : i + 5] == q[j : j + 5]}
+        want = set()
+        for i, j in same:
+            if (i - 1, j - 1) not in same:
+                n = next(n for n in range(1, 99) if (i + n, j + n) not in same)
+                want.add((i, i + n + 4, j - i))
+        got = set(zip(*(v.tolist() for v in compact_windows._runs(np.array(p, np.uint64), np.array(q, np.uint64)))))
+        # of one word repeated in both, only the diagonals on which the starts or the ends meet
+        assert got <= want and all(len(set(p[a:b])) == 1 for a, b, _ in want - got)
+
+
+def test_furthest_alignments():
+    rng = random.Random(1)
+    for _ in range(200):
+        p, q = ([rng.randint(0, 4) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        i, j = rng.randint(0, len(p)), rng.randint(0, len(q))
+        for way, a, b in ((1, p[i:], q[j:]), (-1, p[:i][::-1], q[:j][::-1])):
+            for e, (x, y) in enumerate(compact_windows._far(p, q, i - (way < 0), j - (way < 0), way, 4)):
+                assert near_dedup._plain(a[:x], b[:y], 99) <= e
+                assert x == max(k for k in range(len(a) + 1) if any(near_dedup._plain(a[:k], b[:m], 99) <= e for m in range(len(b) + 1)))
 
 
 def test_compact_windows_side_by_side(spark):
@@ -306,6 +544,79 @@ def test_pipeline_keeps_whole_classes(spark):
     assert all(list(d.columns) == list(once.columns) for n, d in out.items() if n != c.STAGES[-1][0])
 
 
+CLASHING = ("score", "runs", "__runs", "n_words", "n_hit", "item_ids", "size", "taken", "target", "shard", "rest", "first", "blk", "words", "id", "key", "class_id", "__text")
+
+
+def test_pipeline_carries_clashing_columns(spark):
+    import corpus_pipeline as c
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = base.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    twice = base.limit(2).withColumn("text", F.concat("text", F.lit(" and more words of another text here")))
+    plain = base.unionByName(more).unionByName(twice).unionByName(base.limit(1)).withColumn("text", F.when(F.col("doc_id") % 50 != 7, F.col("text")))
+    wide = plain.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in CLASHING])
+    for name, stage in c.STAGES:
+        a, b = (c.materialise(stage(spark, d, "/root/testdata/sf0.001"), "test") for d in (plain, wide))
+        key = lambda d: sorted(map(str, d.select(*plain.columns).collect()))
+        if name == c.STAGES[-1][0]:
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+            continue
+        assert b.columns == wide.columns and key(a) == key(b), name
+        for n in CLASHING:
+            assert b.where(F.col(f"`{n}`") != F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))).count() == 0, (name, n)
+
+
+def test_pipeline_stages_against_plain_ones(spark):
+    """What each stage keeps, worked out again without Spark from the rows it was given."""
+    import collections
+
+    import corpus_pipeline as c
+    from ohmloom.llm.common import word_hashes
+
+    sf = "/root/testdata/sf0.001"
+    tokenizer = PieceEncoder(default_path()).tokenizer
+    benchmark = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in c.STAGES:
+        before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+        docs = c.materialise(stage(spark, docs, sf), "test")
+        if name == "token-ID / binary output":
+            at = 0
+            for r, (d, t, _) in zip(docs.orderBy("start").collect(), sorted(before)):
+                ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+                assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(ids), zlib.crc32(ids.tobytes()))
+                at += len(ids)
+            continue
+        after = collections.Counter((r.doc_id, r.text, r.source) for r in docs.collect())
+        if name == "quality classifier":
+            model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+            for row in before:
+                raw = np.frombuffer((row[1] or "").encode(), np.uint8)
+                p = float(model.scores(raw, np.array([0, len(raw)]))[0])
+                assert abs(p - 0.5) < 1e-5 or (after[row] == 1) == (p >= 0.5)
+        elif name == "MinHash near-dedup":
+            # all pairs, whether they share a key or not: on this table none of the alike ones is missed
+            rows = sorted(before)
+            seqs = [word_hashes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for _, t, _ in rows]
+            own = list(range(len(rows)))
+            for i in range(len(rows)):
+                for j in range(i):
+                    if own[i] != own[j] and (near_dedup.alike(seqs[i], seqs[j]) if len(seqs[i]) and len(seqs[j]) else rows[i][1] == rows[j][1]):
+                        a, b = own[i], own[j]
+                        own = [min(a, b) if o in (a, b) else o for o in own]
+            assert after == collections.Counter(r for i, r in enumerate(rows) if own[i] == i)
+        elif name == "benchmark decontamination":
+            cut = lambda t: [w.decode() for w in words_of(t.encode())]
+            windows = {tuple(w[i : i + 13]) for w in map(cut, benchmark) if w for i in range(max(1, len(w) - 12))}
+            for row in before:
+                w = cut(row[1] or "")
+                hit = {k for p in windows for i in range(len(w) - len(p) + 1) if w[i] == p[0] and tuple(w[i : i + len(p)]) == p for k in range(i, i + len(p))}
+                assert (after[row] == 0) == (bool(hit) and 20 * len(hit) >= len(w))
+        else:
+            taken = {r.doc_id: (r.taken, r.size) for r in mixing.mix(spark.createDataFrame(before, "doc_id long, text string, source string")).collect()}
+            assert all(after[row] == (int(taken[row[0]][0] / taken[row[0]][1] + 0.5) if taken[row[0]][1] else 0) for row in before)
+
+
 def test_lower_bound_of_distance():
     rng = random.Random(8)
     for _ in range(400):
