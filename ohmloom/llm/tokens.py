@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces, and their ids, held by one Python worker before it starts anew (about 150 bytes a piece).
-MOST_PIECES = 1_000_000
+MOST_PIECES = 500_000
 MOST_IDS = 8 * MOST_PIECES
 #: Bytes of text that are cut at a time.
 STEP_BYTES = 8 << 20
