@@ -20,18 +20,21 @@ def between_days(df: DataFrame, ts: str, first: str, last: str) -> DataFrame:
     return df.where((F.col(ts) >= F.to_timestamp(F.lit(first))) & (F.col(ts) < F.to_timestamp(F.lit(last)) + F.expr("interval 1 day")))
 
 
-def fill(df: DataFrame, columns: Sequence[str], ts: str = "ts", by: Sequence[str] = (), backward: bool = False) -> DataFrame:
-    """Forward fill, and with ``backward`` a backward fill of what still lacks a value.
+def fill(df: DataFrame, columns: Sequence[str], ts: str = "ts", by: Sequence[str] = (), backward: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """Forward fill, and with ``backward`` a backward fill of what still lacks a value; ``ties`` orders rows of one instant.
 
     Series are cut into days: inside a day a window fills; what crosses days is one row a day, so one long series is
-    not sorted in one task.
+    not sorted in one task.  Backward is forward in the reverse order: a frame that ends at the last row would be read anew
+    for every row.
     """
     day = F.to_date(F.col(ts))
     keyed = df.withColumn("__day", day)
-    inside = Window.partitionBy(*by, "__day").orderBy(ts)
+    inside = Window.partitionBy(*by, "__day").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*by, "__day").orderBy(F.desc(ts), *map(F.desc, ties)).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(ts, *ties) if ties else F.col(ts)
     days = keyed.groupBy(*by, "__day").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"__l_{c}") for c in columns],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"__f_{c}") for c in columns],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__l_{c}") for c in columns],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__f_{c}") for c in columns],
     )
     over = Window.partitionBy(*by).orderBy("__day")
     past, future = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
@@ -39,8 +42,8 @@ def fill(df: DataFrame, columns: Sequence[str], ts: str = "ts", by: Sequence[str
     joined = keyed.join(days.select(*[F.col(c).alias(f"__k_{c}") for c in (*by, "__day")], *[c for c in days.columns if c.startswith(("__p_", "__n_"))]), [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*by, "__day")], "left")
     values = {}
     for c in columns:
-        forward = F.coalesce(F.last(c, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"__p_{c}"))
-        values[c] = F.coalesce(forward, F.first(c, True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col(f"__n_{c}")) if backward else forward
+        forward = F.coalesce(F.last(c, True).over(inside), F.col(f"__p_{c}"))
+        values[c] = F.coalesce(forward, F.last(c, True).over(back), F.col(f"__n_{c}")) if backward else forward
     return joined.withColumns(values).select(*df.columns)
 
 

@@ -85,7 +85,7 @@ def asof_fill(spark, d):
 select event_id, coalesce(last_value(v ignore nulls) over (order by ts rows between unbounded preceding and current row), first_value(v ignore nulls) over (order by ts rows between current row and unbounded following)) as v from v""")
 def fill_both(spark, d):
     e = _events(spark, d).select("event_id", "ts", F.when(F.col("event_id") % 7 == 0, F.col("value")).alias("v"))
-    return align.fill(e, ["v"], backward=True).select("event_id", "v")
+    return align.fill(e, ["v"], backward=True, ties=["event_id"]).select("event_id", "v")
 
 
 @_query("unpivot (select l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax from lineitem) on l_quantity, l_extendedprice, l_discount, l_tax into name sensor value value")

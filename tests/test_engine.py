@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -276,3 +277,16 @@ def test_entry_and_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_backward_fill_of_a_long_day_ends(spark):
+    rows = spark.range(150_000).select("id", F.timestamp_micros((F.col("id") / 3).cast("long") * 60_000).alias("ts"), F.when(F.col("id") == 149_998, F.col("id")).alias("v"))
+    begun = time.time()
+    got = align.fill(rows, ["v"], backward=True, ties=["id"]).agg(F.count("v"), F.sum("v")).first()
+    assert tuple(got) == (150_000, 150_000 * 149_998) and time.time() - begun < 30
+
+
+def test_fill_orders_rows_of_one_instant(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, t, v) for i, v in ((3, None), (0, None), (2, 2.0), (4, 4.0), (1, 1.0))] + [(5, t + dt.timedelta(days=1), None)], "id long, ts timestamp, v double")
+    assert [r.v for r in align.fill(rows, ["v"], backward=True, ties=["id"]).orderBy("id").collect()] == [1.0, 1.0, 2.0, 2.0, 4.0, 4.0]
