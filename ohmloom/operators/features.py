@@ -392,10 +392,10 @@ def pacf(x: np.ndarray, lags: int = 9) -> list[float]:
     return out + [math.nan] * (lags - most)
 
 
-def welch(x: np.ndarray) -> np.ndarray:
-    """One-sided power density of each row by Welch's method: Hann windows of min(n, 256) values, half overlapping, their
-    means taken off."""
-    n = min(x.shape[1], 256)
+def welch(x: np.ndarray, most: int | None = 256) -> np.ndarray:
+    """One-sided power density of each row by Welch's method: Hann windows of min(n, ``most``) values (None: of all n), half
+    overlapping, their means taken off."""
+    n = min(x.shape[1], most or x.shape[1])
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
     pieces = [x[:, i : i + n] for i in range(0, x.shape[1] - n + 1, n - n // 2)]
     power = np.mean([np.abs(np.fft.rfft((p - p.mean(1, keepdims=True)) * hann, axis=1)) ** 2 for p in pieces], 0) / max((hann**2).sum(), 1e-300)
@@ -668,8 +668,12 @@ FAMILIES: list[tuple[list[str], Callable[[np.ndarray], np.ndarray]]] = [
     (["query_similarity_count__query_None__threshold_0.0"], _each(query_similarity_count)),
     ([f"matrix_profile__feature_{f}" for f in ("min", "max", "mean", "median", "25", "75")], _each(matrix_profile)),
 ]
-#: Quadratic in the window's length and no part of the efficient set: on request.
-ENTROPIES = [(["sample_entropy"], _each(sample_entropy)), (["approximate_entropy__m_2__r_0.2"], _each(approximate_entropy))]
+#: No part of the efficient set: on request.  The entropies are quadratic in the window's length; the density of one piece as
+#: long as the window is the limit of Welch's method without means over pieces.
+ON_REQUEST = [
+    (["sample_entropy"], _each(sample_entropy)), (["approximate_entropy__m_2__r_0.2"], _each(approximate_entropy)),
+    ([f"spkt_density__coeff_{k}" for k in (2, 5, 8)], lambda x: _pick(welch(x, None) if x.shape[1] > 1 else np.zeros((len(x), 0)), (2, 5, 8))),
+]
 
 
 def _pick(x: np.ndarray, columns: tuple[int, ...]) -> np.ndarray:
@@ -682,7 +686,7 @@ def arrow_names() -> list[str]:
 
 def compute(windows: list[np.ndarray], names: list[str]) -> np.ndarray:
     """A row for each window, a column for each name; windows of one length are computed together."""
-    known = {n: (f, i) for family, f in (*FAMILIES, *ENTROPIES) for i, n in enumerate(family)}
+    known = {n: (f, i) for family, f in (*FAMILIES, *ON_REQUEST) for i, n in enumerate(family)}
     out = np.full((len(windows), len(names)), np.nan)
     lengths = np.array([len(w) for w in windows])
     for n in np.unique(lengths[lengths > 0]).tolist():

@@ -290,3 +290,12 @@ def test_fill_orders_rows_of_one_instant(spark):
     t = dt.datetime(2024, 1, 1)
     rows = spark.createDataFrame([(i, t, v) for i, v in ((3, None), (0, None), (2, 2.0), (4, 4.0), (1, 1.0))] + [(5, t + dt.timedelta(days=1), None)], "id long, ts timestamp, v double")
     assert [r.v for r in align.fill(rows, ["v"], backward=True, ties=["id"]).orderBy("id").collect()] == [1.0, 1.0, 2.0, 2.0, 4.0, 4.0]
+
+
+def test_density_of_a_long_window_is_one_piece():
+    x = np.random.default_rng(5).normal(size=300)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(300) / 300)
+    plain = 2 * np.abs(np.fft.rfft((x - x.mean()) * hann)) ** 2 / (hann**2).sum()
+    got = features.compute([x, x[:200], x[:1]], [f"spkt_{how}density__coeff_{k}" for how in ("", "welch_") for k in (2, 5, 8)])
+    assert got[0, :3] == pytest.approx(plain[[2, 5, 8]]) and got[1, :3] == pytest.approx(got[1, 3:]) and np.isnan(got[2]).all()
+    assert not np.allclose(got[0, :3], got[0, 3:])
