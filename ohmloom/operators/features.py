@@ -329,12 +329,16 @@ def efficient() -> dict[str, Callable[[Piece], Column]]:
 
 def arrays(long: DataFrame, by: Iterable[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """by..., the values of each group in time order and sorted, and their aggregates.  A group is one window, bounded by
-    its length."""
+    its length.  Mean and variance are taken in time order: partial sums would put a value that equals the mean on either
+    side of it by how the rows were dealt out."""
     v = F.col(value).cast("double")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(ts), v.alias("v"))))
-    stats = (F.count(v).cast("double"), F.avg(v), F.var_pop(v), F.stddev_pop(v), F.min(v), F.max(v), F.sum(v), F.sum(v * v), F.sum(F.abs(v)))
-    grouped = long.where(F.col(value).isNotNull()).groupBy(*by).agg(ordered.alias("__o"), *[c.alias(f"__{n}") for c, n in zip(stats, _STATS)])
-    named = grouped.select(*by, F.transform("__o", lambda s: s["v"]).alias("__x"), *[f"__{n}" for n in _STATS])
+    stats = {"n": F.count(v).cast("double"), "lo": F.min(v), "hi": F.max(v), "total": F.sum(v), "energy": F.sum(v * v), "size": F.sum(F.abs(v))}
+    grouped = long.where(F.col(value).isNotNull()).groupBy(*by).agg(ordered.alias("__o"), *[c.alias(f"__{n}") for n, c in stats.items()])
+    named = grouped.select(*by, F.transform("__o", lambda s: s["v"]).alias("__x"), *[f"__{n}" for n in stats])
+    # exploded, so that they are columns for the lambdas and not computed again for every element
+    named = named.withColumn("__m", F.explode(F.array(F.struct(_avg(F.col("__x")).alias("mean"), _var(F.col("__x")).alias("var")))))
+    named = named.select(*by, "__x", *[{"mean": F.col("__m.mean"), "var": F.col("__m.var"), "std": F.sqrt("__m.var")}.get(n, F.col(f"__{n}")).alias(f"__{n}") for n in _STATS])
     named = named.withColumn("__s", F.array_sort("__x"))
     return named.withColumn("__distinct", F.size(F.array_distinct("__s")).cast("double"))
 

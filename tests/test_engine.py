@@ -299,3 +299,15 @@ def test_density_of_a_long_window_is_one_piece():
     got = features.compute([x, x[:200], x[:1]], [f"spkt_{how}density__coeff_{k}" for how in ("", "welch_") for k in (2, 5, 8)])
     assert got[0, :3] == pytest.approx(plain[[2, 5, 8]]) and got[1, :3] == pytest.approx(got[1, 3:]) and np.isnan(got[2]).all()
     assert not np.allclose(got[0, :3], got[0, 3:])
+
+
+def test_mean_does_not_hang_on_how_rows_are_dealt(spark):
+    x = [0.4, 2.73, 9.64, 13.2, 19.34, 37.53, 39.27, 42.74, 52.04, 56.99, 65.17, 132.19] * 60
+    t = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("a", t + dt.timedelta(seconds=i), v) for i, v in enumerate(x)], "k string, ts timestamp, value double")
+    total = 0.0
+    for v in x:
+        total += v
+    want = (sum(v > total / len(x) for v in x), sum(v < total / len(x) for v in x))
+    for parts in (1, 3, 7, 60):
+        assert tuple(features.extract(rows.repartition(parts), ["k"], ["count_above_mean", "count_below_mean"]).first()[1:]) == want
