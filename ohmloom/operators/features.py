@@ -567,25 +567,45 @@ def cwt_peaks(x: np.ndarray, n: int) -> float:
     return float(len(keep or ()))
 
 
-def _near(x: np.ndarray, k: int, count: int, far: float) -> np.ndarray:
-    """For each of the first ``count`` runs of k values how many of them are within ``far`` in every value."""
-    runs = np.lib.stride_tricks.sliding_window_view(x, k)[:count]
-    return np.array([(np.abs(runs - run).max(1) <= far).sum() for run in runs])
+def _near(x: np.ndarray, m: int, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of m values how many runs are within ``far`` in every value, the same among all runs but the last, and for
+    each run of m + 1 values.  Rows of the symmetric table of all pairs are made some at a time and added up."""
+    n = len(x)
+    rows = max(1, min(255, (1 << 17) // n))  # counts of a part fit a byte, its differences the cache
+    short, but_last, long = np.zeros(n - m + 1, np.int64), np.zeros(n - m, np.int64), np.zeros(n - m, np.int64)
+    for lo in range(0, n - m + 1, rows):
+        hi = min(lo + rows, n - m + 1)
+        part = x[lo : hi + m, None] - x
+        close = (np.abs(part, out=part) <= far).view(np.uint8)
+        k = hi - lo
+        both = close[:k, : n - m + 1].copy()
+        for j in range(1, m):
+            both &= close[j : j + k, j : j + n - m + 1]
+        short += both.sum(0, dtype=np.uint8)
+        both = both[: min(hi, n - m) - lo, : n - m]
+        but_last += both.sum(0, dtype=np.uint8)
+        both &= close[m : m + len(both), m:]
+        long += both.sum(0, dtype=np.uint8)
+    return short, but_last, long
+
+
+def entropies(x: np.ndarray, m: int = 2, r: float = 0.2) -> list[float]:
+    """Sample entropy and approximate entropy."""
+    n = len(x)
+    if n <= m + 1:
+        return [math.nan, 0.0]
+    short, but_last, long = _near(x, m, r * x.std())
+    pairs, longer = int(but_last.sum()) - (n - m), int(long.sum()) - (n - m)
+    sample = -math.log(longer / pairs) if pairs and longer else math.nan
+    return [sample, abs(float(np.log(short / (n - m + 1)).mean()) - float(np.log(long / (n - m)).mean()))]
 
 
 def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    n = len(x) - m
-    if n < 2:
-        return math.nan
-    long, short = (int(_near(x, k, n, r * x.std()).sum()) - n for k in (m + 1, m))
-    return float(-math.log(long / short)) if long and short else math.nan
+    return entropies(x, m, r)[0]
 
 
 def approximate_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    if len(x) <= m + 1:
-        return 0.0
-    phi = [float(np.log(_near(x, k, c := len(x) - k + 1, r * x.std()) / c).mean()) for k in (m, m + 1)]
-    return abs(phi[0] - phi[1])
+    return entropies(x, m, r)[1]
 
 
 def trend_p(x: np.ndarray) -> float:
@@ -631,20 +651,71 @@ def query_similarity_count(x: np.ndarray, query: Iterable[float] | None = None,
     return float((np.sqrt(((_scaled_runs(x, len(query)) - _scaled_runs(query, len(query))) ** 2).sum(1)) <= threshold + 1e-9).sum())
 
 
+#: Runs from which on the matrix profile goes by diagonals.
+MANY_RUNS = 400
+
+
+def _nearest(x: np.ndarray, k: int, far: int) -> np.ndarray:
+    """Each scaled run's distance to its nearest run more than ``far`` places away."""
+    runs = _scaled_runs(x, k)
+    nearest = np.empty(len(runs))
+    for i, run in enumerate(runs):
+        gap = np.sqrt(((runs - run) ** 2).sum(1))
+        gap[max(0, i - far) : i + far + 1] = np.inf
+        nearest[i] = gap.min()
+    return nearest
+
+
+def _nearest_by_diagonals(x: np.ndarray, k: int, far: int) -> np.ndarray:
+    """The same: covariances of all pairs of runs, one diagonal after another by what enters and what leaves from step to
+    step, tell each run's nearest; its distance is taken from the two runs themselves."""
+    runs = np.lib.stride_tricks.sliding_window_view(x, k)
+    m = len(runs)
+    mean, spread = np.empty(m), np.empty(m)
+    for lo in range(0, m, 256):
+        part = runs[lo : lo + 256]
+        mean[lo : lo + 256] = part.mean(1)
+        spread[lo : lo + 256] = np.where(part.max(1) > part.min(1), part.std(1), 0.0)
+    full = spread > 0
+    scale = np.where(full, 1 / np.where(full, spread * math.sqrt(k), 1), 0.0)
+    # squared distance over k: 2 - 2 r, 1 where one of the two is level, 0 where both are
+    half = full / 2
+    first = np.correlate(x - x.mean(), x[:k] - mean[0], "valid")
+    df, dg = np.zeros(m), np.zeros(m)
+    df[1:] = (x[k:] - x[: m - 1]) / 2
+    dg[1:] = (x[k:] - mean[1:]) + (x[: m - 1] - mean[:-1])
+    best, to = np.full(m, -np.inf), np.full(m, -1)
+    for d in range(far + 1, m):
+        alike = df[: m - d] * dg[d:]
+        alike += df[d:] * dg[: m - d]
+        alike[0] = first[d]
+        np.cumsum(alike, out=alike)
+        alike *= scale[: m - d]
+        alike *= scale[d:]
+        if not full.all():
+            alike -= half[: m - d]
+            alike -= half[d:]
+        for lo, hi, way in ((0, m - d, d), (d, m, -d)):
+            more = np.flatnonzero(alike > best[lo:hi])
+            if len(more):
+                best[lo + more] = alike[more]
+                to[lo + more] = lo + more + way
+    out = np.full(m, np.inf)
+    at = np.flatnonzero(to >= 0)
+    for lo in range(0, len(at), 256):
+        i = at[lo : lo + 256]
+        a, b = ((runs[j] - mean[j, None]) * (scale[j] * math.sqrt(k))[:, None] for j in (i, to[i]))
+        out[i] = np.sqrt(((a - b) ** 2).sum(1))
+    return out
+
+
 def matrix_profile(x: np.ndarray) -> list[float]:
     """Minimum, maximum, mean, median and quartiles of each run's distance to its nearest scaled run at least a quarter of
     a run away; runs are a quarter of the window (four values at least)."""
     k = max(4, len(x) // 4)
     if len(x) < 2 * k:
         return [math.nan] * 6
-    runs = _scaled_runs(x, k)
-    far = max(1, -(-k // 4))
-    nearest = []
-    for i, run in enumerate(runs):
-        gap = np.sqrt(((runs - run) ** 2).sum(1))
-        gap[max(0, i - far) : i + far + 1] = np.inf
-        nearest.append(gap.min())
-    p = np.array(nearest)
+    p = (_nearest if len(x) - k < MANY_RUNS else _nearest_by_diagonals)(x, k, max(1, -(-k // 4)))
     return [float(v) for v in (p.min(), p.max(), p.mean(), np.median(p), np.quantile(p, 0.25), np.quantile(p, 0.75))] if np.isfinite(p).all() else [math.nan] * 6
 
 
@@ -675,7 +746,7 @@ FAMILIES: list[tuple[list[str], Callable[[np.ndarray], np.ndarray]]] = [
 #: No part of the efficient set: on request.  The entropies are quadratic in the window's length; the density of one piece as
 #: long as the window is the limit of Welch's method without means over pieces.
 ON_REQUEST = [
-    (["sample_entropy"], _each(sample_entropy)), (["approximate_entropy__m_2__r_0.2"], _each(approximate_entropy)),
+    (["sample_entropy", "approximate_entropy__m_2__r_0.2"], _each(entropies)),
     ([f"spkt_density__coeff_{k}" for k in (2, 5, 8)], lambda x: _pick(welch(x, None) if x.shape[1] > 1 else np.zeros((len(x), 0)), (2, 5, 8))),
 ]
 

@@ -311,3 +311,21 @@ def test_mean_does_not_hang_on_how_rows_are_dealt(spark):
     want = (sum(v > total / len(x) for v in x), sum(v < total / len(x) for v in x))
     for parts in (1, 3, 7, 60):
         assert tuple(features.extract(rows.repartition(parts), ["k"], ["count_above_mean", "count_below_mean"]).first()[1:]) == want
+
+
+def test_entropies_and_profile_of_long_windows():
+    rng = np.random.default_rng(8)
+    for x in (np.round(rng.exponential(50, 700), 1), np.repeat(np.round(rng.normal(size=60), 1), 12), np.tile([1.0, 2.0, 5.0, 2.0], 150), rng.normal(size=5), np.arange(4.0)):
+        n, far = len(x), 0.2 * x.std()
+        table = {k: (np.abs(np.lib.stride_tricks.sliding_window_view(x, k)[:, None] - np.lib.stride_tricks.sliding_window_view(x, k)).max(2) <= far) for k in (2, 3)}
+        long, short = table[3].sum() - (n - 2), table[2][: n - 2, : n - 2].sum() - (n - 2)
+        sample = -np.log(long / short) if long and short else np.nan
+        assert features.entropies(x) == pytest.approx([sample, abs(np.log(table[2].mean(1)).mean() - np.log(table[3].mean(1)).mean())], nan_ok=True)
+        if n > 100:
+            k = n // 4
+            assert features._nearest_by_diagonals(x, k, 20) == pytest.approx(features._nearest(x, k, 20), abs=1e-6)
+    level = np.concatenate([rng.normal(size=200), np.zeros(150), rng.normal(size=100), np.ones(150), rng.normal(size=100)])
+    assert features._nearest_by_diagonals(level, 100, 25) == pytest.approx(features._nearest(level, 100, 25), abs=1e-6)
+    begun = time.time()
+    big = np.repeat(rng.normal(size=300), 40)
+    assert np.isfinite(features.entropies(big)).all() and np.isfinite(features.matrix_profile(big)).all() and time.time() - begun < 15
