@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ohmloom.llm import compact_windows, decontamination, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, token_planes, topk
-from ohmloom.llm.common import words_of
+from ohmloom.llm.common import materialise, words_of
 from ohmloom.llm.tokens import PieceEncoder, default_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, blk int, words string"
@@ -631,3 +631,26 @@ def test_labels_do_not_depend_on_the_texts_beside():
     alone = near_dedup.labelled(np.array([1, 2, 3], np.uint64), np.array([0, 3]))
     beside = near_dedup.labelled(np.array([1, 2, 3, 4, 4], np.uint64), np.array([0, 3, 5]))
     assert (alone == beside[:3]).all() and beside[3] != beside[4]
+
+
+def test_compact_windows_fetch_few_stretches_of_a_leader(spark, monkeypatch):
+    rng, seen = random.Random(12), {}
+    keep = compact_windows.materialise
+    monkeypatch.setattr(compact_windows, "materialise", lambda df, name, **how: seen.setdefault(name, keep(df, name, **how)))
+    leader = prose(rng, 400).split()
+    texts = [(0, " ".join(leader))]
+    for i in range(1, 150):
+        at, n = rng.randrange(300), rng.randrange(60, 100)
+        texts.append((i, " ".join([prose(rng, rng.randrange(5, 60)), *leader[at : at + n], prose(rng, 30)])))
+    got = {r.m for r in compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).where("lead = 0").collect()}
+    assert len(got) >= 147
+    spans = seen["windows-candidates"].where("lead = 0").select("x", "y").distinct().collect()
+    assert len(spans) <= 36 and all(r.x % compact_windows.EDGE == r.y % compact_windows.EDGE == 0 for r in spans)
+
+
+def test_shuffled_rows_go_with_the_write(spark):
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    for release in (True, False):
+        rows = materialise(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "released", release=release)
+        assert (files() > before) != release and rows.count() == 10
