@@ -365,12 +365,13 @@ def extract_tall(long: DataFrame, by: list[str], names: Iterable[str] | None = N
     known, w = efficient(), _piece()
     chosen = list(names) if names is not None else [*known, *arrow_names()]
     pieces = cut(arrays(long, by, ts, value), "pieces")
-    mine = [n for n in chosen if n in known]
+    faster = {n for names, _ in FASTER for n in names}
+    mine = [n for n in chosen if n in known and n not in faster]
     out = None
     for lo in range(0, len(mine), TOGETHER):
         some = tall(pieces.select(*by, *[known[n](w).alias(n) for n in mine[lo : lo + TOGETHER]]), by)
         out = some if out is None else out.unionByName(some)
-    rest = [n for n in chosen if n not in known]
+    rest = [n for n in chosen if n not in known or n in faster]
     if rest:
         some = tall(_arrow(pieces, by, rest), by)
         out = some if out is None else out.unionByName(some)
@@ -719,6 +720,22 @@ def matrix_profile(x: np.ndarray) -> list[float]:
     return [float(v) for v in (p.min(), p.max(), p.mean(), np.median(p), np.quantile(p, 0.25), np.quantile(p, 0.75))] if np.isfinite(p).all() else [math.nan] * 6
 
 
+_CORRIDORS = [(lo, hi) for lo in (0.0, 0.2, 0.4, 0.6, 0.8) for hi in (0.2, 0.4, 0.6, 0.8, 1.0) if lo < hi]
+
+
+def change_quantiles(x: np.ndarray) -> list[float]:
+    """Mean and variance of the steps, and of their sizes, that begin and end in each corridor of quantiles; 0 without one."""
+    s, step, out = np.sort(x), np.diff(x), []
+    for corridor in _CORRIDORS:
+        at = [round((len(x) - 1) * q, 9) for q in corridor]
+        a, b = (s[int(p)] + (s[min(int(p) + 1, len(s) - 1)] - s[int(p)]) * (p - int(p)) for p in at)
+        inside = (x >= a) & (x <= b)
+        some = step[inside[1:] & inside[:-1]]
+        for y in (some, np.abs(some)):
+            out += [float(y.mean()), float(y.var())] if len(y) else [0.0, 0.0]
+    return out
+
+
 def _each(f: Callable[[np.ndarray], float | list[float]]) -> Callable[[np.ndarray], np.ndarray]:
     return lambda x: np.array([np.atleast_1d(f(row)) for row in x], float)
 
@@ -751,6 +768,10 @@ ON_REQUEST = [
 ]
 
 
+#: Expressions too, but of a lambda with quantiles inside: the whole set takes them from here.
+FASTER = [([f"change_quantiles__f_agg_{agg}__isabs_{absolute}__qh_{hi}__ql_{lo}" for lo, hi in _CORRIDORS for absolute in (False, True) for agg in ("mean", "var")], _each(change_quantiles))]
+
+
 def _pick(x: np.ndarray, columns: tuple[int, ...]) -> np.ndarray:
     return np.column_stack([x[:, c] if c < x.shape[1] else np.full(len(x), np.nan) for c in columns])
 
@@ -761,7 +782,7 @@ def arrow_names() -> list[str]:
 
 def compute(windows: list[np.ndarray], names: list[str]) -> np.ndarray:
     """A row for each window, a column for each name; windows of one length are computed together."""
-    known = {n: (f, i) for family, f in (*FAMILIES, *ON_REQUEST) for i, n in enumerate(family)}
+    known = {n: (f, i) for family, f in (*FAMILIES, *ON_REQUEST, *FASTER) for i, n in enumerate(family)}
     out = np.full((len(windows), len(names)), np.nan)
     lengths = np.array([len(w) for w in windows])
     for n in np.unique(lengths[lengths > 0]).tolist():

@@ -329,3 +329,17 @@ def test_entropies_and_profile_of_long_windows():
     begun = time.time()
     big = np.repeat(rng.normal(size=300), 40)
     assert np.isfinite(features.entropies(big)).all() and np.isfinite(features.matrix_profile(big)).all() and time.time() - begun < 15
+
+
+def test_the_whole_set_takes_change_quantiles_from_arrow(spark):
+    rng, t = np.random.default_rng(3), dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(str(n), t + dt.timedelta(seconds=i), float(v)) for n in (1, 2, 7, 16, 90) for i, v in enumerate(np.round(rng.exponential(5, n), 1))], "k string, ts timestamp, value double")
+    names = [n for n in features.efficient() if n.startswith("change_quantiles")]
+    assert sorted(names) == sorted(features.FASTER[0][0])
+    some = names[::7]
+    tall = features.extract_tall(rows, ["k"], some)
+    assert "MapInArrow" in tall._jdf.queryExecution().toString()
+    got = {(r.k, r.feature): r.value for r in tall.collect()}
+    for r in features.extract(rows, ["k"], some).collect():
+        for n in some:
+            assert got[r.k, n] == pytest.approx(r[n], abs=1e-9)
