@@ -216,6 +216,32 @@ def test_pieces_equal_the_library():
             assert part.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_with_signs_equal_the_library():
+    encoder, rng = PieceEncoder(default_path()), random.Random(10)
+    signs = "aZéßÿĊĠŉǅɏ×÷ªµɐ09²'’s._!-~`\x7f\xad"
+    piece = lambda: "".join(rng.choice(signs[:12] if rng.random() < 0.7 else signs) for _ in range(rng.randint(0, 6))) + rng.choice(["", ",", "'s", "'", "...", "!?"])
+    texts = [rng.choice([" ", "\n", "  "]).join(piece() for _ in range(rng.randint(1, 4))) for _ in range(20000)]
+    ids, counts = encoder.encode(pa.array(texts))
+    want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(w.ids == g.tolist() for w, g in zip(want, np.split(ids, np.cumsum(counts)[:-1]), strict=True))
+    # signs are no reason to ask the library for a word again
+    seen, learn = [], encoder._learn
+    encoder._learn = lambda pieces: (seen.extend(pieces), learn(pieces))
+    encoder.encode(pa.array(["x newword newword, newword. Newword newword;"]))
+    assert seen.count(" newword") == 1 and " newword," not in seen
+
+
+def test_frequent_pieces_are_not_forgotten(monkeypatch):
+    encoder, seen = PieceEncoder(default_path(), most=300), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: (seen.extend(pieces), learn(pieces)))
+    for step in range(40):
+        text = " ".join(f"often{i} rare{step}x{i}" for i in range(50))
+        ids, counts = encoder.encode(pa.array([text]))
+        assert ids[: counts[0]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and len(encoder.known) <= 300
+    assert all(seen.count(f" often{i}") == 1 for i in range(1, 50))
+
+
 def test_token_planes(docs, rows, nothing):
     got = token_planes.read_files(token_planes.write_files(docs, shard_ids=500)).orderBy("start").collect()
     tokenizer = PieceEncoder(default_path()).tokenizer
