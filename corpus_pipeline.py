@@ -87,7 +87,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{number}")
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{number}", release=True)
     return docs
 
 

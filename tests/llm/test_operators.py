@@ -680,3 +680,18 @@ def test_shuffled_rows_go_with_the_write(spark):
     for release in (True, False):
         rows = materialise(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "released", release=release)
         assert (files() > before) != release and rows.count() == 10
+
+
+def test_near_dedup_and_pipeline_keep_no_shuffled_rows(spark, docs, monkeypatch):
+    """Every table that is written frees the shuffled rows that led to it: none wait for the driver's garbage collection."""
+    import corpus_pipeline as c
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = held()
+    near_dedup.classes(docs)
+    assert not held() - before
+    monkeypatch.setattr(c, "STAGES", [("all", lambda spark, docs, sf_dir: docs.repartition(3, "doc_id"))])
+    monkeypatch.setattr(c, "table", lambda spark, sf_dir, name: docs)
+    c.run(spark, "")
+    assert not held() - before
