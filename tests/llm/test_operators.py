@@ -695,3 +695,42 @@ def test_near_dedup_and_pipeline_keep_no_shuffled_rows(spark, docs, monkeypatch)
     monkeypatch.setattr(c, "table", lambda spark, sf_dir, name: docs)
     c.run(spark, "")
     assert not held() - before
+
+
+def test_compact_windows_meet_later_documents_too(spark, monkeypatch):
+    """A passage whose every signature stands in still earlier texts links the two later ones that hold all of it; a text has a
+    link to each other one, equal texts to their first only."""
+    monkeypatch.setattr(compact_windows, "PAIRS", 50, raising=False)
+    rng, texts = random.Random(21), {}
+    for i in range(0, 200, 10):
+        q = prose(rng, 60).split()
+        for k in range(4):
+            texts |= {i + 2 * k: " ".join([prose(rng, 60), *q[:34], prose(rng, 60)]), i + 2 * k + 1: " ".join([prose(rng, 60), *q[26:], prose(rng, 60)])}
+        texts |= {i + 8: " ".join([prose(rng, 70), *q, prose(rng, 50)]), i + 9: " ".join([prose(rng, 40), *q, prose(rng, 80)])}
+    p = prose(rng, 80)
+    texts |= {1000 + i: f"{prose(rng, 40)} {p} {prose(rng, 30)}" for i in range(6)}
+    texts |= {2000: texts[1000], 2001: texts[1000], 2002: "short", 2003: "short"}
+    got = {r.doc_id: r for r in compact_windows.find_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(got[i + 9].class_id == i + 8 and got[i + 9].n_dup_words >= 60 for i in range(0, 200, 10))
+    assert all(got[i + k].n_links == 0 for i in range(0, 200, 10) for k in range(8))
+    assert [got[1000 + i].n_links for i in range(6)] == [7, 5, 5, 5, 5, 5] and got[2000].n_links == got[2001].n_links == 1
+    assert got[2001].n_dup_words == len(texts[1000].split()) and got[2003].class_id == 2003
+
+
+def test_compact_windows_reject_as_the_shared_words_do():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        theirs = rng.integers(0, 40, rng.integers(60, 160)).astype(np.uint64)
+        pieces = []
+        for _ in range(rng.integers(1, 6)):
+            mine = rng.integers(0, 40, rng.integers(50, 140)).astype(np.uint64)
+            n = int(rng.integers(0, min(len(mine), len(theirs))))
+            mine[:n] = np.where(rng.random(n) < rng.choice([0.1, 0.2, 0.3]), rng.integers(0, 40, n).astype(np.uint64), theirs[:n])
+            pieces.append(mine)
+        size = np.array([len(x) for x in pieces])
+        codes, there = [compact_windows._pairs_of_words(x) for x in pieces], set(compact_windows._pairs_of_words(theirs)[:-1].tolist())
+        may = compact_windows._may_agree(np.isin(np.concatenate(codes), list(there)), np.cumsum(size) - size, size)
+        for x, code, possible in zip(pieces, codes, may):
+            worth = np.append(0, np.cumsum([2 if w in there else -3 for w in code[:-1].tolist()]))
+            assert possible == any(worth[j] >= worth[i] - 2 for i in range(len(worth)) for j in range(i + 49, len(worth)))
+            assert possible or not compact_windows.passages(x, theirs)
