@@ -734,3 +734,38 @@ def test_compact_windows_reject_as_the_shared_words_do():
             worth = np.append(0, np.cumsum([2 if w in there else -3 for w in code[:-1].tolist()]))
             assert possible == any(worth[j] >= worth[i] - 2 for i in range(len(worth)) for j in range(i + 49, len(worth)))
             assert possible or not compact_windows.passages(x, theirs)
+
+
+def test_compact_windows_send_words_of_few_candidates_of_a_common_line(spark, monkeypatch):
+    """Texts that share no more than a line are candidates of each other, but no words are sent for them; those that share a
+    passage around it are all found."""
+    rng, seen = random.Random(31), {}
+    keep = compact_windows.materialise
+    monkeypatch.setattr(compact_windows, "materialise", lambda df, name, **how: seen.setdefault(name, keep(df, name, **how)))
+    line, passage = prose(rng, 18), prose(rng, 45)
+    texts = [(i, f"{prose(rng, 60)} {line} {prose(rng, 60)}") for i in range(80)] + [(100 + i, f"{prose(rng, 60)} {line} {passage} {prose(rng, 60)}") for i in range(8)]
+    found = compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).select("m", "lead").distinct().collect()
+    assert {(r.m, r.lead) for r in found} == {(100 + i, 100 + k) for i in range(8) for k in range(i)}
+    # the last table of candidates is the one that words are sent for
+    pairs = [df.select("m", "lead").distinct().count() for df in seen.values() if {"m", "lead", "x", "y"} <= set(df.columns)]
+    assert pairs[0] > 1000 and 28 <= pairs[-1] < 50
+
+
+def test_compact_windows_lose_nothing_to_the_sets_of_pairs():
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    for _ in range(40):
+        theirs, mine = [rng.choice(words, 150).tolist() for _ in range(2)], [rng.choice(words, 200).tolist() for _ in range(3)]
+        for x in mine:
+            at = int(rng.integers(0, 80))
+            x[at : at + 60] = np.where(rng.random(60) < rng.choice([0.05, 0.15, 0.25]), rng.choice(words, 60), theirs[int(rng.integers(2))][40:100])
+        docs = pa.table({"doc_id": pa.array([10, 11, 12], pa.int64()), "text": [" ".join(x) for x in mine]})
+        earlier = pa.table({"doc_id": pa.array([1, 1], pa.int64()), "text": [" ".join(x) for x in theirs]})  # two rows of one doc_id
+        one = {"blk": 0, "lead": 1, "x": 0, "y": 150}
+        rows = [one | {"m": 10 + t, "t": t, "a": 0, "b": 200, "theirs": None} for t in range(3)]
+        spans = pa.table({"lead": pa.array([1], pa.int64()), "dest": pa.array([0], pa.int32()), "x": [0], "y": [150]})
+        schema = pa.schema([("blk", pa.int32()), ("m", pa.int64()), ("t", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("lead", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("theirs", pa.binary())])
+        beside = lambda some, fetch: pa.Table.from_pylist(some + fetch(earlier, spans).to_pylist(), schema)
+        left = compact_windows._reject(docs, beside(rows, compact_windows._fetch_pairs)).to_pylist()
+        whole, rest = [compact_windows._verify(docs, beside(some, compact_windows._fetch)).to_pylist() for some in (rows, left)]
+        assert whole == rest and all("theirs" not in r for r in left)
