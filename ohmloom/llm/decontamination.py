@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, table, words_of
+from .common import as_bytes, held, materialise, table, words_of
 
 WINDOW = 13
 BLOCK_NODES = 4_000_000
@@ -104,16 +104,6 @@ def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(spans[a][0], spans[b - 1][1]) for a, b in runs]
 
 
-_scanners: dict[bytes, Scanner] = {}
-
-
-def _scanner(key: bytes, block: list[tuple[str, bytes]], window: int) -> Scanner:
-    if key not in _scanners:
-        _scanners.clear()
-        _scanners[key] = Scanner(block, window)
-    return _scanners[key]
-
-
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_nodes: int = BLOCK_NODES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of ``documents``: the ``keep`` columns, n_words, n_hit, item_ids (sorted), byte_starts, byte_ends.
 
@@ -148,7 +138,7 @@ def _scan_block(documents: DataFrame, block: list[tuple[str, bytes]], window: in
     key = hashlib.sha256(repr((window, sorted(block))).encode()).digest()
 
     def work(batches):
-        scanner = _scanner(key, shared.value, window)
+        scanner = held(("scanner", key), lambda: Scanner(shared.value, window))
         for batch in batches:
             n_words, runs, ids, lo, hi = [], [], [], [], []
             for text in as_bytes(batch.column(batch.schema.get_field_index("__text"))):

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces, and their ids, held by one Python worker before it forgets the rare ones (about 150 bytes a piece).
 MOST_PIECES = 500_000
@@ -207,11 +209,6 @@ class PieceEncoder:
         return ids, total[edges[1:]] - total[edges[:-1]]
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each Python worker, so that tasks share what it remembers."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: PieceEncoder(path))

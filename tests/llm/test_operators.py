@@ -769,3 +769,17 @@ def test_compact_windows_lose_nothing_to_the_sets_of_pairs():
         left = compact_windows._reject(docs, beside(rows, compact_windows._fetch_pairs)).to_pylist()
         whole, rest = [compact_windows._verify(docs, beside(some, compact_windows._fetch)).to_pylist() for some in (rows, left)]
         assert whole == rest and all("theirs" not in r for r in left)
+
+
+def test_a_worker_keeps_the_tables_of_one_operator_only():
+    """The encoder's pieces go when the automaton is needed, and the other way round; asked again, the same one is given."""
+    import weakref
+
+    from ohmloom.llm import common, tokens
+
+    one = weakref.ref(tokens.encoder(default_path()))
+    assert tokens.encoder(default_path()) is one()
+    scan = weakref.ref(common.held(("scanner", b"k"), lambda: decontamination.Scanner([("a", b"one two three")])))
+    assert one() is None and scan() is not None
+    tokens.encoder(default_path())
+    assert scan() is None
